@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import content, mixing, packing, wordpiece
 
 QUERIES = {
+    "op3_extract_html": content.op3_extract_html,
     "op7_pack": packing.op7_pack,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_token_counts": wordpiece.op9_token_counts,
 }
 
 ORACLE_SQL = {"op8_mix_sources": mixing.OP8_SQL}
