@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import content, mixing, packing, wordpiece
+from . import balltree, content, mixing, packing, permutation, wordpiece
 
 QUERIES = {
+    "op1_top_k": balltree.op1_top_k,
     "op3_extract_html": content.op3_extract_html,
+    "op4_nearest": permutation.op4_nearest,
     "op7_pack": packing.op7_pack,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_counts": wordpiece.op9_token_counts,
 }
 
-ORACLE_SQL = {"op8_mix_sources": mixing.OP8_SQL}
+ORACLE_SQL = {"op1_top_k": balltree.OP1_SQL, "op8_mix_sources": mixing.OP8_SQL}
