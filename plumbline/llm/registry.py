@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import balltree, content, mixing, packing, permutation, wordpiece
+from . import balltree, content, mixing, ngram_join, packing, permutation, wordpiece
 
 QUERIES = {
     "op1_top_k": balltree.op1_top_k,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_extract_html": content.op3_extract_html,
     "op4_nearest": permutation.op4_nearest,
     "op7_pack": packing.op7_pack,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_token_counts": wordpiece.op9_token_counts,
 }
 
-ORACLE_SQL = {"op1_top_k": balltree.OP1_SQL, "op8_mix_sources": mixing.OP8_SQL}
+ORACLE_SQL = {"op1_top_k": balltree.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL}
