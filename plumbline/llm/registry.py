@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import balltree, content, mixing, ngram_join, packing, permutation, quality, repeats, wordpiece
+from . import balltree, content, mixing, ngram_join, packing, permutation, pii, quality, repeats, wordpiece
 
 QUERIES = {
     "op1_top_k": balltree.op1_top_k,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_nearest": permutation.op4_nearest,
     "op5_repeats": repeats.op5_repeats,
     "op6_quality": quality.op6_quality,
+    "op10_pii": pii.op10_pii,
     "op7_pack": packing.op7_pack,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_token_counts": wordpiece.op9_token_counts,
