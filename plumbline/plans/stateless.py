@@ -10,7 +10,7 @@ from ..operators import integrity, taxi_checks, transit_checks
 from ..operators.contracts import Contract, FieldContract
 from ..sources.readers import star
 from .fixtures import EVENTS, EVENTS_AS_OF, FUTURE_AS_OF, TRIPS, context_sql, counted, counted_sql, events, trips
-from .registry import query
+from .base import query
 
 NAN = "({0} = 'NaN')"
 SECONDS = "(CAST(epoch_us(dropoff) - epoch_us(pickup) AS DOUBLE) / 1000000.0)"
