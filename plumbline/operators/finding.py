@@ -1,9 +1,10 @@
 """Checks as Columns: one struct per check, all checks of a table in one scan.
 
 A Check holds a Column that gives a reason code, or null where the record passes; further
-Columns may give the severity and details.  ``findings`` packs all checks into one array,
-drops the nulls and explodes what is left, so a thousand checks still read a table once, and
-a snapshot of the record is made for violating rows only.
+Columns may give the severity and details.  ``findings`` first filters the records with any
+reason, which is compiled code over plain Columns, and only for those packs all checks into
+an array and explodes it.  So a thousand checks still read a table once, and details and
+snapshots are made for violating rows only.
 """
 
 from __future__ import annotations
@@ -28,26 +29,25 @@ class Check:
     expected: dict[str, Column] = field(default_factory=dict)
     enabled: bool = True
 
-    def struct(self) -> Column:
+    def struct(self, details: bool = True) -> Column:
         text = lambda d: F.to_json(F.struct(*[c.alias(k) for k, c in d.items()])) if d else F.lit(None).cast("string")
         severity = self.severity_of if self.severity_of is not None else F.lit(self.severity)
-        s = F.struct(
-            F.lit(self.rule_id).alias("rule_id"), F.lit(self.name).alias("rule_name"), severity.alias("severity"),
-            F.lit(self.violation_type).alias("violation_type"), self.reason.alias("reason"), text(self.details).alias("details"), text(self.expected).alias("expected"),
-        )
-        return F.when(self.reason.isNotNull(), s)
+        fields = [F.lit(self.rule_id).alias("rule_id"), F.lit(self.name).alias("rule_name"), severity.alias("severity"), F.lit(self.violation_type).alias("violation_type"), self.reason.alias("reason")]
+        if details:
+            fields += [text(self.details).alias("details"), text(self.expected).alias("expected")]
+        return F.when(self.reason.isNotNull(), F.struct(*fields))
 
     def with_severity(self, severity: str) -> "Check":
         return replace(self, severity=severity, severity_of=None)
 
 
-def findings(df: DataFrame, checks: Sequence[Check], keep: Sequence[str] = (), snapshot: Sequence[str] = ()) -> DataFrame:
+def findings(df: DataFrame, checks: Sequence[Check], keep: Sequence[str] = (), snapshot: Sequence[str] = (), details: bool = True) -> DataFrame:
     """A row per finding: the columns in keep, the finding's fields, and record_snapshot if columns are named for it."""
     live = [c for c in checks if c.enabled]
     if not live:
         raise ValueError("no check is enabled")
-    found = df.select(*keep, *[c for c in snapshot if c not in keep], F.array_compact(F.array(*[c.struct() for c in live])).alias("_found"))
-    rows = found.where(F.size("_found") > 0).withColumn("_f", F.explode("_found"))
+    hit = df.where(F.coalesce(*[c.reason for c in live]).isNotNull())
+    rows = hit.select(*keep, *[c for c in snapshot if c not in keep], F.explode(F.array(*[c.struct(details) for c in live])).alias("_f")).where(F.col("_f").isNotNull())
     extra = [F.to_json(F.struct(*snapshot)).alias("record_snapshot")] if snapshot else []
     return rows.select(*keep, "_f.*", *extra)
 

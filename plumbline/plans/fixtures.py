@@ -71,7 +71,7 @@ EVENTS = """ev AS (
 
 def counted(df: DataFrame, checks: list[Check]) -> DataFrame:
     """(rule_id, severity, reason, n)."""
-    return findings(df, checks).groupBy("rule_id", "severity", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return findings(df, checks, details=False).groupBy("rule_id", "severity", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def counted_sql(source: str, *rules: tuple[str, str, str]) -> str:
