@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which the ids of a semi join are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of texts in an Arrow batch.
+BATCH_ROWS = 1000
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -56,6 +62,37 @@ def input_bytes(df: DataFrame) -> int:
         return 1 << 30
 
 
+def batched(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df, with Arrow batches of at most so many rows from now on in its session: texts are long, and each batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *tables: Callable[[], dict]) -> Callable:
+    """run, with released() when a task is over; tables give the dictionaries to empty."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released(*(t() for t in tables))
+
+    return tidied
+
+
+def released(*tables: dict) -> None:
+    """Empties a worker's tables at the end of a task and gives the memory back, since workers live on and serve other operators."""
+    for t in tables:
+        t.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def prefixed(df: DataFrame, columns: tuple[str, ...] | list[str]) -> list:
     """Columns by exact name, so that dots or other marks in a name do no harm."""
     return [df[f"`{c}`"] for c in columns]

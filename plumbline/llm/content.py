@@ -27,7 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import batched, table, tidy
 from .content_labels import CLOSE, OPEN, labelled_pages
 
 #: What is no text at all, tags, and text.
@@ -148,7 +148,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     p = pages.select(pages["`page_id`"].cast("long").alias("page_id"), pages["`url`"].cast("string").alias("url"), pages["`html`"].cast("string").alias("html"))
-    return p.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return batched(p).mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op3_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:

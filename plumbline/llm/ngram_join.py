@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, DOCUMENT_COLUMNS, staged, table
+from .common import BROADCAST_ROWS, DOCUMENT_COLUMNS, batched, staged, table, tidy
 from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -37,12 +37,16 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 MAX_HASHES = 128
 #: Nodes that are compared at a time, and nodes of small components that share a task.
 BLOCK, GROUP = 512, 2000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 100_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD_HASHES: dict[str, int] = {}
 
 
+def known_words() -> dict[str, int]:
+    return _WORD_HASHES
+
+
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows, so the fewest false candidates, that reach the recall at the threshold."""
     best = (math.ceil(math.log(1 - recall) / math.log(1 - threshold)) if threshold < 1 else 1, 1)
@@ -64,13 +68,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def ngram_hashes(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the n-grams of all texts, one after the other, and the number of each text's."""
-    known = _WORD_HASHES
     split = [(t or "").lower().split() for t in texts]
-    new = set().union(*split) - known.keys()
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = set().union(*split)
-    digest = xxhash.xxh64_intdigest
+    new, digest = set().union(*split) - _WORD_HASHES.keys(), xxhash.xxh64_intdigest
+    known = _WORD_HASHES if len(_WORD_HASHES) < CACHE_WORDS else dict(_WORD_HASHES)  # words that come often come early
     known.update((w, digest(w.encode("utf-8", "surrogatepass"))) for w in new)
     n = np.array([len(w) for w in split], np.int64)
     total = int(n.sum())
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
     text = F.coalesce(docs["`text`"].cast("string"), F.lit(""))
     d = docs.select(docs["`doc_id`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    sig = staged(d.mapInArrow(sign, "doc_id long, node long, bands array<long>"), "signatures")
+    sig = staged(batched(d).mapInArrow(tidy(sign, known_words), "doc_id long, node long, bands array<long>"), "signatures")
     texts = sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # copies have the same bands, so the distinct (band, node) are those of the texts
     band = sig.select("node", F.explode("bands").alias("band"))
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     ids = sized.select(F.col("node").alias("id"), "rep")
     rep = (F.col("node") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     chosen = d.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, rep, "left_semi")
-    grams = chosen.select("node", "text").mapInArrow(shingle, "node long, grams binary")
+    grams = chosen.select("node", "text").mapInArrow(tidy(shingle, known_words), "node long, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     few = F.lit(max(1, n // GROUP))
     tasks = sized.select("root", "node", "blk", "parts", other.alias("o")).select(

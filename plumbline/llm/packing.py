@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import batched, staged, table, tidy
 
 CAPACITY = 1024
 END_ID = 2
 #: Rows that share a bucket of one length, about.
 BUCKET_ROWS = 50_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -86,19 +86,23 @@ class Encoder:
         try:
             return self._by_words(first) + b"".join(map(spaced.__getitem__, rest))
         except KeyError:
-            if len(spaced) > CACHE_WORDS:
-                spaced.clear()
-            for w in rest:
-                if w not in spaced:
-                    if not w or w[0].isspace():
-                        return self._by_words(text)
-                    if w.isalpha():
-                        spaced[w] = self._word(" " + w)
-                    elif w[:-1].isalpha() and w[-1] in ".,":
-                        spaced[w] = self._word(" " + w[:-1]) + self._word(w[-1])
-                    else:
-                        spaced[w] = self._by_words(" " + w)
-            return self._by_words(first) + b"".join(map(spaced.__getitem__, rest))
+            pass
+        parts = list(map(spaced.get, rest))
+        for i, ids in enumerate(parts):
+            if ids is None:
+                w = rest[i]
+                if not w or w[0].isspace():
+                    return self._by_words(text)
+                if w.isalpha():
+                    ids = self._word(" " + w)
+                elif w[:-1].isalpha() and w[-1] in ".,":
+                    ids = self._word(" " + w[:-1]) + self._word(w[-1])
+                else:
+                    ids = self._by_words(" " + w)
+                parts[i] = ids
+                if len(spaced) < CACHE_WORDS:  # words that come often come early
+                    spaced[w] = ids
+        return self._by_words(first) + b"".join(parts)
 
     def _by_words(self, text: str) -> bytes:
         return b"".join(map(self._word, self.words(text)))
@@ -106,12 +110,16 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         got = self.kept.get(word)
         if got is None:
-            if len(self.kept) > CACHE_WORDS:
-                self.kept.clear()
-            got = self.kept[word] = array("I", self.word_ids(word)).tobytes()
+            got = array("I", self.word_ids(word)).tobytes()
+            if len(self.kept) < CACHE_WORDS:
+                self.kept[word] = got
         return got
 
 
+def encoders() -> dict[str, Encoder]:
+    return _ENCODERS
+
+
 def encoder(name: str = "byte_bpe_50k.json") -> Encoder:
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(name)
@@ -137,7 +145,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "by
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     d = docs.select(docs["`doc_id`"].cast("long").alias("doc_id"), docs["`text`"].cast("string").alias("text"))
-    out = d.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    out = batched(d).mapInArrow(tidy(run, encoders), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")
 
 

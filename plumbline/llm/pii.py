@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import DOCUMENT_COLUMNS, table
+from .common import DOCUMENT_COLUMNS, batched, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -380,7 +380,7 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names)
 
     d = docs.select(docs["`doc_id`"].cast("long").alias("doc_id"), docs["`text`"].cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return batched(d).mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -407,7 +407,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             columns[at_text], columns[at_n] = pa.array(new, b.schema.field(at_text).type), pa.array(n, b.schema.field(at_n).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

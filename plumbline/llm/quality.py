@@ -21,14 +21,12 @@ an empty table gives an empty table; other columns are carried along, whatever t
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, keep_ids, staged, table
+from .common import DOCUMENT_COLUMNS, batched, keep_ids, staged, table, tidy
 
 ORDER = 5
 #: Symbols: before the beginning, runs of 1, 2, 3, 4 to 6, 7 to 12, ... repeated words up to the last one, and the end.
@@ -37,10 +35,9 @@ HELD_OUT = 5
 LEAST_HELD = 5
 SPREAD, SHORT = 4.5, 2.5
 MODEL_ROWS = 4_000_000
-SLICE_BYTES = 1 << 18
+SLICE_BYTES, BATCH_ROWS = 1 << 18, 2000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_MODELS: dict[str, dict] = {}
 _POWERS = np.ones(1, np.uint64)
 
 
@@ -123,13 +120,15 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             c, back = np.unique(c, return_inverse=True)
             held[lang] = [(c, np.bincount(back, n).astype(np.int64))]
 
-        for b in batches:
-            texts = _texts(b.column(0))
-            for lang, which in _by_language(b.column(1)):
-                for group in _slices(texts, which):
-                    held.setdefault(lang, []).append(np.unique(codes(symbols([texts[i] for i in group], order), order), return_counts=True))
-                    if len(held[lang]) >= 16:
-                        merged(lang)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                b = whole.slice(at, BATCH_ROWS)
+                texts = _texts(b.column(0))
+                for lang, which in _by_language(b.column(1)):
+                    for group in _slices(texts, which):
+                        held.setdefault(lang, []).append(np.unique(codes(symbols([texts[i] for i in group], order), order), return_counts=True))
+                        if len(held[lang]) >= 16:
+                            merged(lang)
         for lang in held:
             merged(lang)
             c, n = held[lang][0]
@@ -137,13 +136,13 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 part = c[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[k : k + 100_000])], ["lang", "code", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return batched(docs.select("text", "lang")).mapInArrow(tidy(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, size, code, kind, value): kind a has what is left of an n-gram's probability after its discount, kind g a context's back-off weight (size: its own length)."""
     parts, cur = [], counts
-    for size in range(order, 0, -1):
+    for size in range(order, 0, -1):  # each order is staged, which keeps the plans small
         n = F.col("n")
         of = cur.groupBy("lang").agg(*[F.count(F.when(n == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
@@ -153,10 +152,12 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         off = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = cur.join(of, "lang").select("lang", "code", F.shiftright("code", 8).alias("ctx"), "n", off.alias("off"))
         ctx = rows.groupBy("lang", "ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("off").alias("taken"))
-        parts.append(rows.join(ctx, ["lang", "ctx"]).select("lang", F.lit(size).alias("size"), "code", F.lit("a").alias("kind"), ((F.col("n") - F.col("off")) / F.col("total")).alias("value")))
-        parts.append(ctx.select("lang", F.lit(size - 1).alias("size"), F.col("ctx").alias("code"), F.lit("g").alias("kind"), (F.col("taken") / F.col("total")).alias("value")))
+        grams = rows.join(ctx, ["lang", "ctx"]).select("lang", F.lit(size).alias("size"), "code", F.lit("a").alias("kind"), ((n - F.col("off")) / F.col("total")).alias("value"))
+        weights = ctx.select("lang", F.lit(size - 1).alias("size"), F.col("ctx").alias("code"), F.lit("g").alias("kind"), (F.col("taken") / F.col("total")).alias("value"))
+        parts.append(staged(grams.unionByName(weights), f"model-{size}"))
         if size > 1:
             cur = cur.groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << 8 * (size - 1)) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+            cur = staged(cur, f"ngrams-{size - 1}")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -167,9 +168,9 @@ class Table:
     """Integers to doubles, by open addressing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 4 - 1).bit_length())
+        bits = max(4, int(len(keys) * 1.4).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
         self.mask = (1 << bits) - 1
         slot, todo = self._slots(keys), np.arange(len(keys))
         while len(todo):
@@ -186,7 +187,7 @@ class Table:
     def get(self, q: np.ndarray, default: float) -> np.ndarray:
         slot = self._slots(q)
         there = self.keys[slot]
-        out = self.values[slot]
+        out = self.values[slot].astype(np.float64)
         bad = np.flatnonzero(there != q)
         out[bad] = default
         bad = bad[there[bad] != -1]
@@ -241,52 +242,57 @@ class Model:
         return out
 
 
-def _models(key: str, rows: dict[str, tuple], order: int) -> dict[str, Model]:
-    """The models of a shard, built once a worker; only the latest are kept."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = {lang: Model(*columns, order) for lang, columns in rows.items()}
-    return _MODELS[key]
+def model_shards(model: DataFrame, order: int = ORDER) -> list[tuple[int, int, object]]:
+    """(number, of how many, broadcast of {lang: Model}) for each shard of a model; MODEL_ROWS rows each, about."""
+    spark = model.sparkSession
+    n_shards = max(1, min(256, -(-model.count() // MODEL_ROWS)))
+    out = []
+    langs = sorted(r[0] for r in model.select("lang").distinct().collect())  # languages
+    numbers = spark.createDataFrame([(x, i) for i, x in enumerate(langs)], "l string, i int")
+    # the symbol before the last: of n-grams the second lowest byte, of contexts the lowest
+    before = F.when(F.col("kind") == "a", F.shiftright("code", 8)).otherwise(F.col("code")).bitwiseAND(F.lit(255))
+    everywhere = (F.col("size") == 0) | ((F.col("size") == 1) & (F.col("kind") == "a"))
+    for shard in range(n_shards):
+        mine = model.where((F.pmod(before, F.lit(n_shards)) == shard) | everywhere)
+        got = mine.select(F.col("lang").alias("l"), F.col("size").cast("byte"), "code", F.col("kind") == "a", F.col("value").cast("float"))
+        got = got.join(F.broadcast(numbers), "l").drop("l").toArrow()  # MODEL_ROWS rows, about
+        columns = [got.column(i).to_numpy() for i in range(5)]
+        models = {lang: Model(*(c[columns[4] == i] for c in columns[:4]), order) for i, lang in enumerate(langs)}
+        out.append((shard, n_shards, spark.sparkContext.broadcast(models)))
+    return out
 
 
-def with_loss(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+def with_loss(docs: DataFrame, shards: list, order: int = ORDER) -> DataFrame:
     """docs (with text and lang among its columns) and q_loss, q_symbols: the sum of losses and the number of symbols; null without a model of the language."""
-    spark = docs.sparkSession
-    n_shards = max(1, min(256, -(-model.count() // MODEL_ROWS)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
-    df, key, names = docs, uuid.uuid4().hex, list(docs.columns)
-    for shard in range(n_shards):
-        # the symbol before the last: of n-grams the second lowest byte, of contexts the lowest
-        before = F.when(F.col("kind") == "a", F.shiftright("code", 8)).otherwise(F.col("code")).bitwiseAND(F.lit(255))
-        mine = (F.pmod(before, F.lit(n_shards)) == shard) | (F.col("size") == 0) | ((F.col("size") == 1) & (F.col("kind") == "a"))
-        got = model.where(mine).toArrow()  # MODEL_ROWS rows, about
-        lang, size, code, kind, value = (got.column(c).to_numpy() for c in ("lang", "size", "code", "kind", "value"))
-        rows = {x: tuple(y[lang == x] for y in (size, code, kind == "a", value)) for x in sorted(set(lang))}
-        sent = spark.sparkContext.broadcast(rows)
-
-        def run(batches, sent=sent, shard=shard):
-            models = _models(f"{key}-{shard}", sent.value, order)
-            for b in batches:
-                texts = _texts(b.column(at_text))
-                loss, n = np.full(len(texts), np.nan), np.full(len(texts), -1, np.int64)
-                for lang, which in _by_language(b.column(at_lang)):
-                    if lang not in models:
-                        continue
-                    for group in _slices(texts, which):
-                        a = symbols([texts[i] for i in group], order)
-                        c = codes(a, order)
-                        each = models[lang].losses(c) if n_shards == 1 else np.where((c >> 8 & 255) % n_shards == shard, models[lang].losses(c), 0.0)
-                        first = np.flatnonzero((a == PAD) & (np.append(a[1:], PAD) != PAD))
-                        start = (np.cumsum(a != PAD) - 1)[first + 1] if len(first) else first
-                        loss[group] = np.add.reduceat(each, start)
-                        n[group] = np.diff(np.append(start, len(c)))
-                if shard:
-                    loss += b.column(b.num_columns - 2).to_numpy(zero_copy_only=False)
-                cols = [b.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(loss, from_pandas=True), pa.array(n, mask=n < 0)], [*names, "q_loss", "q_symbols"])
-
-        df = df.mapInArrow(run, f"{fields}, q_loss double, q_symbols long")
+    df, names = docs, list(docs.columns)
+    for shard, n_shards, sent in shards:
+
+        def run(batches, sent=sent, shard=shard, n_shards=n_shards):
+            models = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, BATCH_ROWS):
+                    b = whole.slice(at, BATCH_ROWS)
+                    texts = _texts(b.column(at_text))
+                    loss, n = np.full(len(texts), np.nan), np.full(len(texts), -1, np.int64)
+                    for lang, which in _by_language(b.column(at_lang)):
+                        if lang not in models:
+                            continue
+                        for group in _slices(texts, which):
+                            a = symbols([texts[i] for i in group], order)
+                            c = codes(a, order)
+                            each = models[lang].losses(c) if n_shards == 1 else np.where((c >> 8 & 255) % n_shards == shard, models[lang].losses(c), 0.0)
+                            first = np.flatnonzero((a == PAD) & (np.append(a[1:], PAD) != PAD))
+                            start = (np.cumsum(a != PAD) - 1)[first + 1] if len(first) else first
+                            loss[group] = np.add.reduceat(each, start)
+                            n[group] = np.diff(np.append(start, len(c)))
+                    if shard:
+                        loss += b.column(b.num_columns - 2).to_numpy(zero_copy_only=False)
+                    cols = [b.column(i) for i in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(loss, from_pandas=True), pa.array(n, mask=n < 0)], [*names, "q_loss", "q_symbols"])
+
+        df = batched(df).mapInArrow(tidy(run), f"{fields}, q_loss double, q_symbols long")
         if n_shards > 1:
             df = staged(df, "losses")
     return df
@@ -298,13 +304,14 @@ def judged(docs: DataFrame, labels: DataFrame, spread: float = SPREAD, short: fl
     trusted = label.where("quality = 1 AND id IS NOT NULL").select("id")
     held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
     d = docs.select(docs["`doc_id`"].cast("long").alias("id"), docs["`text`"].cast("string").alias("text"), docs["`lang`"].cast("string").alias("lang"))
-    model = staged(kneser_ney(staged(ngram_counts(keep_ids(d, trusted.where(~held), ["id"]), order), "ngrams"), order), "model")
-    held_out = with_loss(keep_ids(d, trusted.where(held), ["id"]).select("text", "lang"), model, order).where("q_symbols > 1")
+    model = kneser_ney(staged(ngram_counts(keep_ids(d, trusted.where(~held), ["id"]), order), "ngrams"), order)
+    shards = model_shards(model, order)
+    held_out = with_loss(keep_ids(d, trusted.where(held), ["id"]).select("text", "lang"), shards, order).where("q_symbols > 1")
     mean = F.col("q_loss") / F.col("q_symbols")
     limits = held_out.groupBy("lang").agg(F.percentile(mean, F.lit(0.5)).alias("mid"), F.percentile(mean, F.lit(0.85)).alias("high"), F.count(F.lit(1)).alias("n"))
     limits = staged(limits.where(F.col("n") >= LEAST_HELD).select(F.col("lang").alias("q_lang"), (F.col("mid") + F.lit(spread) * (F.col("high") - F.col("mid"))).alias("q_limit")), "limits")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("q_row"), docs["`text`"].cast("string").alias("text"), docs["`lang`"].cast("string").alias("lang"))
-    scored = with_loss(rows, model, order)
+    scored = with_loss(rows, shards, order)
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("q_lang")), "left")
     limit = F.col("q_limit") + F.lit(short) / F.sqrt("q_symbols")
     keep = F.coalesce((F.col("q_symbols") <= 1) | (mean <= limit), F.lit(True))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import batched, staged, table, tidy
 from .ngram_join import mixed
 from .suffix_array import common_prefixes, found_in, suffix_array
 
@@ -200,7 +200,7 @@ def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     text = F.coalesce(docs["`text`"].cast("string"), F.lit(""))
     d = docs.select(docs["`doc_id`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("ref"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     fields = "ref long, n_bytes long, start long, length int, span int, n int, anchor long, content long"
-    segments = staged(d.where(F.col("n_bytes") >= WIDTH).select("ref", "text").mapInArrow(_segments, fields), "segments")
+    segments = staged(batched(d).where(F.col("n_bytes") >= WIDTH).select("ref", "text").mapInArrow(tidy(_segments), fields), "segments")
     twice = segments.groupBy("anchor").agg(F.sum("n").alias("t")).where("t > 1").select("anchor")
     shared = staged(segments.join(twice, "anchor"), "shared")
     kinds = shared.groupBy("anchor", "content").agg(F.sum("n").alias("times"), F.min(F.struct("ref", "n_bytes", "start", "length")).alias("one"))
@@ -211,7 +211,7 @@ def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     listed = staged(listed, "listed")
     n_bytes = listed.agg(F.sum("w.length")).first()[0] or 0
     wanted = listed.groupBy("ref", "n_bytes").agg(F.collect_list("w").alias("wanted"))  # a text's own segments
-    cut = d.join(wanted, ["ref", "n_bytes"]).select("ref", "n_bytes", "text", "wanted").mapInArrow(_cut, "anchor long, ref long, n_bytes long, start long, single boolean, kinds long, seg binary")
+    cut = d.join(wanted, ["ref", "n_bytes"]).select("ref", "n_bytes", "text", "wanted").mapInArrow(tidy(_cut), "anchor long, ref long, n_bytes long, start long, single boolean, kinds long, seg binary")
     parts = F.ceil(F.col("kinds") / F.lit(BLOCK)).cast("int")
     cut = cut.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("ref", "start"), F.col("parts")).cast("int"))
     cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -235,7 +235,7 @@ def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     out = d.join(gone, ["ref", "n_bytes"], "left").select("doc_id", "text", "spans")
-    out = out.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>")
+    out = out.mapInArrow(tidy(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<long>")
     return out if with_kept else out.drop("kept", "spans")
 
 

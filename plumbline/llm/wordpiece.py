@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batched, table, tidy
 
 MARK = "▁"
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 _AUTOMATA: dict[str, "LongestMatch"] = {}
 
@@ -124,9 +124,8 @@ class LongestMatch:
         split = [(t or "").split() for t in texts]
         new = list(set().union(*split) - kept.keys())
         if new:
-            if len(kept) + len(new) > CACHE_WORDS:
-                kept.clear()
-                new = list(set().union(*split))
+            if len(kept) >= CACHE_WORDS:  # words that come often come early
+                kept = dict(kept)
             kept.update(zip(new, self.lengths(new).tolist()))
         get = kept.__getitem__
         return [sum(map(get, words)) for words in split], [len(words) for words in split]
@@ -144,13 +143,11 @@ def token_counts(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model") -> Dat
     def run(batches):
         match = automaton(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            parts = [match.count(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]
-            tokens, words = ([x for p in parts for x in p[k]] for k in (0, 1))
+            tokens, words = match.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(words, pa.int64())], ["doc_id", "n_tokens", "n_words"])
 
     d = docs.select(docs["`doc_id`"].cast("long").alias("doc_id"), docs["`text`"].cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_tokens long, n_words long")
+    return batched(d).mapInArrow(tidy(run, lambda: automaton(tokenizer).kept), "doc_id long, n_tokens long, n_words long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
