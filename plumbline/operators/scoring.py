@@ -33,6 +33,6 @@ def with_prediction(df: DataFrame, features: list[str], load: Callable[[], Calla
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = load()
         for columns in batches:
-            yield model(pd.concat(columns, axis=1, keys=features)).astype("float64")
+            yield model(pd.concat(list(columns) if isinstance(columns, tuple) else [columns], axis=1, keys=features)).astype("float64")
 
     return df.withColumn(name, sane(score(*[F.col(f) for f in features]), fallback))
