@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def anchored(df: DataFrame, key: str, seconds: str, order: str, width: float, flag: str = "opens", members: str | None = None) -> DataFrame:
@@ -38,8 +39,8 @@ def anchored(df: DataFrame, key: str, seconds: str, order: str, width: float, fl
                 out.append(pa.array(number))
             yield pa.RecordBatch.from_arrays(out, [*names, flag, *([members] if members else [])])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema = f"{fields}, `{flag}` boolean" + (f", `{members}` int" if members else "")
+    extra = [T.StructField(flag, T.BooleanType())] + ([T.StructField(members, T.IntegerType())] if members else [])
+    schema = T.StructType([*df.schema.fields, *extra])
     return df.repartition(F.col(key)).sortWithinPartitions(key, seconds, order).mapInArrow(run, schema)
 
 
