@@ -12,7 +12,7 @@ doubles where they are exact, else in Python integers, kept within a long.
 Defined cases: null ids, null vectors and vectors with null or non-finite components take
 no part; vectors of different lengths are no candidates of each other; ties go to the
 smaller id; rows that repeat an id are candidates each, but not of queries with that id,
-and a query id that repeats has one list, the best over its rows; a query without
+and a query id that repeats is searched for once, with one of its vectors; a query without
 candidates has no rows; an empty table gives an empty table.
 """
 
@@ -145,6 +145,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
 
     built = staged(dealt(v, v.count()).mapInArrow(build, SHARD_SCHEMA), "ball-trees")
     shards, queries = built.where("kind = 'shard'"), built.where("kind = 'query'")
+    # an id that repeats is searched for with one of its vectors
+    queries = queries.groupBy("ids").agg(F.min(F.struct("vecs", "shard", "kind", "dim", "extra")).alias("q")).select("q.shard", "q.kind", "q.dim", "ids", "q.vecs", "q.extra")
 
     def pack(batches):
         """Query rows into blocks; extra: start score and home shard of each."""

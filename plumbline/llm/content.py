@@ -2,8 +2,8 @@
 
 A page is read as a sequence of words and tags.  A word scores what its surroundings are
 worth: the elements around it (tag names, and words of class, id and role) have weights
-learned from the labelled pages of ``labelled_pages``, as smoothed log odds of their words
-being main text, and the least of them counts.  A tag scores below zero, less where
+learned from the labelled pages of ``labelled_pages``: smoothed log odds of their words being
+main text, where they are against it, and the least of them counts.  A tag scores below zero, less where
 labelled pages have it outside the main text.  One linear scan finds the contiguous region
 with the largest sum.  The main text is the region's words, except those that themselves
 score below zero (an advert within an article, say).
@@ -43,8 +43,10 @@ MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 WORD_OF_MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input button".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A word and a tag, where the labelled pages say nothing.
+#: A word and a tag, where the labelled pages say nothing, and the least of each: what parts two
+#: stretches of the main text, such as an advert, must not outweigh a short stretch.
 WORD_SCORE, TAG_SCORE = 1.0, -0.05
+LEAST_WORD, LEAST_TAG = -0.3, -0.2
 
 
 def sequence(page: str):
@@ -99,8 +101,8 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
                     for mark in set(inside):
                         words[main][mark] += n
     odds = lambda c, x: math.log((c[True][x] + 0.5) / (c[False][x] + 0.5))
-    of_words = {x: max(-3.0, min(WORD_SCORE, odds(words, x))) for x in words[True].keys() | words[False].keys()}
-    of_tags = {x: max(-1.0, min(TAG_SCORE, odds(tags, x))) for x in tags[True].keys() | tags[False].keys()}
+    of_words = {x: WORD_SCORE if odds(words, x) >= 0 else max(LEAST_WORD, odds(words, x)) for x in words[True].keys() | words[False].keys()}
+    of_tags = {x: max(LEAST_TAG, min(TAG_SCORE, odds(tags, x))) for x in tags[True].keys() | tags[False].keys()}
     return of_words, of_tags
 
 

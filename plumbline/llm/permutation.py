@@ -14,7 +14,7 @@ Defined cases: null ids, and vectors that are null, zero or hold null or non-fin
 components, take no part; vectors of different lengths are no candidates of each other, and
 lengths of which no pivot was drawn are searched in full; ties go to the smaller id; rows
 that repeat an id are candidates each, but not of queries with that id; a query id that
-repeats has one list, the best over its rows; an empty table gives an empty table.
+repeats is searched for once, with the smallest of its vectors; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, n_pivots: int = P
         return rows
 
     built = staged(dealt(v, v.count()).mapInArrow(build, SHARD_SCHEMA), "permutation-index")
-    q = v.where(F.pmod("id", F.lit(every)) == 0)
+    q = v.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     blocks = q.repartition(max(1, q.count() // QUERY_BLOCK)).mapInArrow(pack, SHARD_SCHEMA)
     found = met(built, blocks, search, "query_id long, vec_id long, score double", HIT_ARROW)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

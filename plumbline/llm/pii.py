@@ -31,7 +31,7 @@ from .common import DOCUMENT_COLUMNS, batched, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-SURE = 0.9
+SURE = 0.75
 ROUNDS = 10
 #: Least number of digits for words with the same last digits to be taken as the same number.
 ALIKE_DIGITS = 7
@@ -219,8 +219,8 @@ def examples(n: int = 600, seed: int = 3) -> list[tuple[list[str], list[int]]]:
             labels += [0] * (len(words) - len(labels))
             if known and r.random() < 0.35:
                 kind, item = r.choice(known)
-                if r.random() < 0.4:
-                    item = ["".join(item)]
+                if r.random() < 0.5:
+                    item = [r.choice(["".join(item), _digits("".join(item)) if kind in ("phone", "card") else "".join(item)])]
             else:
                 kind = r.choice([*KINDS, "other", "other", "other"])
                 item = made[kind]() if kind != "other" else nothing()

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import DOCUMENT_COLUMNS, batched, keep_ids, staged, table, tidy
 
@@ -264,7 +265,7 @@ def model_shards(model: DataFrame, order: int = ORDER) -> list[tuple[int, int, o
 
 def with_loss(docs: DataFrame, shards: list, order: int = ORDER) -> DataFrame:
     """docs (with text and lang among its columns) and q_loss, q_symbols: the sum of losses and the number of symbols; null without a model of the language."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = T.StructType([*docs.schema.fields, T.StructField("q_loss", T.DoubleType()), T.StructField("q_symbols", T.LongType())])
     at_text, at_lang = docs.columns.index("text"), docs.columns.index("lang")
     df, names = docs, list(docs.columns)
     for shard, n_shards, sent in shards:
@@ -292,7 +293,7 @@ def with_loss(docs: DataFrame, shards: list, order: int = ORDER) -> DataFrame:
                     cols = [b.column(i) for i in range(len(names))]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(loss, from_pandas=True), pa.array(n, mask=n < 0)], [*names, "q_loss", "q_symbols"])
 
-        df = batched(df).mapInArrow(tidy(run), f"{fields}, q_loss double, q_symbols long")
+        df = batched(df).mapInArrow(tidy(run), schema)
         if n_shards > 1:
             df = staged(df, "losses")
     return df
