@@ -17,7 +17,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def text(v) -> str | None:
     if v is None or v is pd.NA or (isinstance(v, float) and v != v):
         return None
-    return repr(float(v)) if isinstance(v, float) else str(v)
+    if isinstance(v, float):  # a column with nulls may come as either
+        return str(int(v)) if v.is_integer() else repr(float(v))
+    return str(v)
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
