@@ -24,7 +24,7 @@ def is_missing(c: Column) -> Column:
 
 def parse_time(c: Column) -> Column:
     """ISO text (with T, Z or offset) or a timestamp; null where it is neither."""
-    return F.try_to_timestamp(c.cast("string"))
+    return c.cast("string").try_cast("timestamp")
 
 
 def parse_epoch_or_time(c: Column) -> Column:
