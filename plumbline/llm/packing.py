@@ -35,7 +35,7 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows that share a bucket of one length, about.
 BUCKET_ROWS = 50_000
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -82,7 +82,7 @@ class Encoder:
         if any(s in text for s in self.specials):
             return array("I", self._ids_of(text)).tobytes()
         first, *rest = text.split(" ")
-        spaced = self.spaced
+        spaced, word_ids = self.spaced, self.word_ids
         try:
             return self._by_words(first) + b"".join(map(spaced.__getitem__, rest))
         except KeyError:
@@ -93,10 +93,10 @@ class Encoder:
                 w = rest[i]
                 if not w or w[0].isspace():
                     return self._by_words(text)
-                if w.isalpha():
-                    ids = self._word(" " + w)
-                elif w[:-1].isalpha() and w[-1] in ".,":
-                    ids = self._word(" " + w[:-1]) + self._word(w[-1])
+                if w.isalpha():  # one word, without the pattern
+                    ids = array("I", word_ids(" " + w)).tobytes()
+                elif w[-1] in ".," and (core := w[:-1]).isalpha():
+                    ids = (spaced.get(core) or array("I", word_ids(" " + core)).tobytes()) + self._word(w[-1])
                 else:
                     ids = self._by_words(" " + w)
                 parts[i] = ids
