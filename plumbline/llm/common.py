@@ -54,14 +54,6 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df's source, read from its statistics; no job runs."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # statistics are a hint only
-        return 1 << 30
-
-
 def batched(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """df, with Arrow batches of at most so many rows from now on in its session: texts are long, and each batch is held several times over."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
