@@ -83,20 +83,21 @@ def chi_square_2x2(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(margins > 0, n * cross * cross / margins).otherwise(0.0)
 
 
-def ks_two_sample(df: DataFrame, value: str, is_second: str) -> DataFrame:
+def ks_two_sample(df: DataFrame, value: str, is_second: str, slices: int = 256) -> DataFrame:
     """One row: the statistic, both sizes, and the critical value at 5 %.
 
-    Counts by value come first; the running sums then go over distinct values, range
-    partitioned so that no single task sorts them all: sums before each partition are added.
+    Counts by value come first.  Running sums then go over the distinct values within slices
+    of equal width, on top of what the slices before hold, so no task sorts all values.
     """
-    d = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(~F.col(is_second)).alias("c1"), F.count_if(is_second).alias("c2"))
-    parts = d.repartitionByRange(F.col("v")).withColumn("p", F.spark_partition_id()).persist()
-    totals = parts.groupBy("p").agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    base = totals.select("p", F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("b1"), F.coalesce(F.sum("t2").over(before), F.lit(0)).alias("b2"))
-    n = totals.agg(F.sum("t1").alias("n1"), F.sum("t2").alias("n2"))
+    d = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(~F.col(is_second)).alias("c1"), F.count_if(is_second).alias("c2"))
+    ends = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))  # one row
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices), F.lit(slices - 1))).otherwise(F.lit(0))
+    d = d.crossJoin(F.broadcast(ends)).withColumn("p", part)
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    base = d.groupBy("p").agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"))
+    base = base.select("p", F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("b1"), F.coalesce(F.sum("t2").over(before), F.lit(0)).alias("b2"))
     w = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = parts.withColumns({"r1": F.sum("c1").over(w), "r2": F.sum("c2").over(w)}).join(F.broadcast(base), "p").crossJoin(F.broadcast(n))
+    run = d.withColumns({"r1": F.sum("c1").over(w), "r2": F.sum("c2").over(w)}).join(F.broadcast(base), "p")
     gap = F.abs((F.col("b1") + F.col("r1")) / F.col("n1") - (F.col("b2") + F.col("r2")) / F.col("n2"))
     out = run.groupBy("n1", "n2").agg(F.max(gap).alias("statistic"))
     return out.withColumn("critical", F.lit(1.36) * F.sqrt((F.col("n1") + F.col("n2")) / (F.col("n1") * F.col("n2")))).select("statistic", "n1", "n2", "critical")
