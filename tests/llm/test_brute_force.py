@@ -161,6 +161,30 @@ def test_neighbours_are_found(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("crowd", ["none", "copies", "near copies"])
+def test_neighbours_are_found_beside_a_crowd(spark, crowd):
+    r = np.random.default_rng(12)
+    base = np.array([x["embedding"] for x in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], float)
+    n = 8400
+    data = (base[r.integers(0, len(base), n)] + base[r.integers(0, len(base), n)]) / 2 + r.normal(size=(n, base.shape[1])) * base.std() / 2
+    inside = np.zeros(n, bool)
+    if crowd != "none":
+        inside[r.permutation(n)[: n // 3]] = True
+        data[inside] = data[0] + (r.normal(size=(inside.sum(), base.shape[1])) * base.std() / 1000 if crowd == "near copies" else 0)
+    data = data.astype(np.float32).astype(float)
+    got = defaultdict(list)
+    for x in permutation.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append(x["vec_id"])
+    right = {True: [], False: []}
+    for q in range(0, n, 100):
+        d = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(n), d)).tolist() if i != q][:10]
+        right[bool(inside[q])].append(len(set(want) & set(got[q])) / 10)
+    assert len(got) == n // 100 and all(np.mean(x) >= 0.9 for x in right.values() if x), right
+    if crowd == "copies":
+        assert min(right[True]) == 1.0
+
+
 def test_footrule():
     r = np.random.default_rng(5)
     near = np.array([r.permutation(20)[:6] for _ in range(50)], np.int32)
