@@ -143,7 +143,8 @@ def repeated_windows(pdf: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
         text = np.frombuffer(b"".join(side["seg"]), np.uint8)
         edge = np.cumsum(size)
         ends = np.repeat(edge, size)
-        made.append((side, text, edge - size, ends, suffix_array(text, ends, 256)))
+        depth = 256 if between else int(size.max(initial=0))  # prefixes are carried from suffix to suffix in full order only
+        made.append((side, text, edge - size, ends, suffix_array(text, ends, depth)))
     out = []
     for k, (side, text, starts, ends, sa) in enumerate(made):
         n = len(text)

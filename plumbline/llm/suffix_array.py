@@ -31,9 +31,10 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int = 256) -> np.nda
     key = words8(text)
     short = np.flatnonzero(left < 8)
     key[short] &= ~np.uint64(0) << (np.uint64(8) * (8 - left[short]).astype(np.uint64))
-    sa = np.argsort(key, kind="stable")
-    ordered = key[sa]
-    head = np.append(True, ordered[1:] != ordered[:-1])
+    size = np.minimum(left, 8)
+    sa = np.argsort(key, kind="stable") if text.all() else np.lexsort((size, key))  # a zero byte is no end
+    ordered, size = key[sa], size[sa]
+    head = np.append(True, (ordered[1:] != ordered[:-1]) | (size[1:] != size[:-1]))
     first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[sa] = first
@@ -78,7 +79,8 @@ def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, sa:
     """Of each suffix in sa with the one before it, up to most.
 
     Kasai's way: a suffix has at least one byte less in common with its neighbour than the
-    suffix one position before it had, so bytes are compared once.  All pieces (starts: their
+    suffix one position before it had, so bytes are compared once.  That holds only if sa is in
+    full order (its depth not less than the longest piece), equal suffixes by position.  All pieces (starts: their
     first positions) are gone through at the same time, one position a step.
     """
     n = len(text)

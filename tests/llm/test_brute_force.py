@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,27 @@ def test_suffix_array_and_prefixes():
     assert suffix_array.found_in(text, ends, sa, other, at, 8).tolist() == want
 
 
+@pytest.mark.parametrize("ends_with", [b"", b"\0"])
+def test_long_common_prefixes_mark_nothing_else(ends_with):
+    """Segments that share more than 256 bytes and then part, among others."""
+    r = random.Random(10)
+    for _ in range(60):
+        passage = lambda n: bytes(r.choice(b"abcd") for _ in range(n))
+        segs = []
+        for _ in range(6):
+            p = passage(r.randint(257, 350))
+            segs += [p + passage(r.randint(1, 10)) for _ in range(2)]
+            segs += [passage(360) for _ in range(4)]
+            p = passage(r.randint(210, 350))
+            segs += [p[: 205 + r.randint(0, 5)] + ends_with * r.randint(0, 9) for _ in range(3)]
+        r.shuffle(segs)
+        pdf = pd.DataFrame({"anchor": 1, "ref": range(len(segs)), "n_bytes": [len(s) for s in segs], "start": 0, "single": True, "kinds": len(segs), "seg": segs, "blk": 0, "i": 0, "j": 0})
+        seen = Counter(s[i : i + 200] for s in segs for i in range(len(s) - 199))
+        want = {(k, i) for k, s in enumerate(segs) for i in range(len(s) - 199) if seen[s[i : i + 200]] > 1}
+        got = {(x.ref, x.start + i) for x in repeats.repeated_windows(pdf).itertuples() for i in range(x.span - 199)}
+        assert got == want
+
+
 def test_top_k_is_exact(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(700, 8)).round(1)
