@@ -407,6 +407,43 @@ def test_field_finds_more_of_what_it_knows():
     assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.9
 
 
+@pytest.mark.parametrize("at", [0, 30, 60])
+def test_field_is_consistent_across_a_document(at):
+    parts = ["take 9745553436 and then"] * 60
+    parts.insert(at, "or call +1 (974) 555-3436 now")
+    texts = [" ".join(parts), "the year 2024 and 17 of 300 items", "x " * 30]
+    (_, added), (_, none), _ = pii.all_spans(texts)
+    assert [texts[0][a:b] for _, a, b in added] == ["9745553436"] * 60 and not none
+    assert pii.all_spans(texts[:1]) == pii.all_spans(texts)[:1]
+    assert "9745553436" not in pii.redact(texts[0], [x for part in pii.all_spans(texts)[0] for x in part])
+
+
+def test_evidence_stands_however_many_are_linked_to_it():
+    text = "+1 (974) 555-3436 y " + "9745553436 x " * 20_000
+    ((_, added),) = pii.all_spans([text])
+    assert len(added) == 20_000
+
+
+def test_beliefs_of_a_tree_are_exact():
+    """A chain of 40 nodes with a branch: evidence comes through from end to end."""
+    r = np.random.default_rng(11)
+    node, near, skip = r.normal(size=(41, 2)), np.array([[2.5, -2.5], [-2.5, 2.5]]), np.array([[1.0, 0.0], [0.0, 1.0]])
+    node[0] = [-1e3, 1e3]
+    edges = np.array([(i, i + 1, 0) for i in range(39)] + [(3, 40, 1)])
+    to = np.zeros((41, 2))
+    for i in [40, *range(39, 0, -1)]:  # to the root
+        a, pair = (3, skip) if i == 40 else (i - 1, near)
+        to[a] += np.logaddexp.reduce(pair + (node[i] + to[i])[None], axis=1)
+    down = np.zeros((41, 2))
+    for i in [*range(1, 40), 40]:
+        a, pair = (3, skip) if i == 40 else (i - 1, near)
+        up = np.logaddexp.reduce(pair + (node[i] + to[i])[None], axis=1)
+        down[i] = np.logaddexp.reduce(pair + (node[a] + to[a] + down[a] - up)[:, None], axis=0)
+    want = node + to + down
+    want = np.exp(want - np.logaddexp.reduce(want, axis=1)[:, None])
+    assert np.abs(pii.marginals(node, edges, near, skip) - want).max() < 1e-3
+
+
 def test_redaction():
     text = "mail a@b.com or 1.2.3.4."
     assert pii.redact(text, pii.base_spans(text)) == "mail [EMAIL] or [IP]."
