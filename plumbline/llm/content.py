@@ -3,8 +3,12 @@
 A page is read as a sequence of words and tags.  A word scores what its surroundings are
 worth: the elements around it (tag names, and words of class, id and role) have weights
 learned from the labelled pages of ``labelled_pages``: smoothed log odds of their words being
-main text, where they are against it, and the least of them counts.  A tag scores below zero, less where
-labelled pages have it outside the main text.  One linear scan finds the contiguous region
+main text, where they are against it, and the least of them counts.  What holds the page as a
+whole says nothing against its words, though: body, classes that tell what the page has
+(has-sidebar), classes of a place beside one of content (top-story), a form with most of the
+page's words, main, and an element with most of the words that has the article inside.  If no
+word is left that scores above zero, elements with most of the words stop counting, outermost
+first.  A tag scores below zero, less where labelled pages have it outside the main text.  One linear scan finds the contiguous region
 with the largest sum.  The main text is the region's words, except those that themselves
 score below zero (an advert within an article, say).
 
@@ -47,12 +51,32 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 #: stretches of the main text, such as an advert, must not outweigh a short stretch.
 WORD_SCORE, TAG_SCORE = 1.0, -0.05
 LEAST_WORD, LEAST_TAG = -0.3, -0.2
+#: First words of classes that tell what a page has or is, and words that tell of a place only.
+STATES = frozenset("has with without no is not show hide".split())
+PLACES = frozenset("top bottom side column rail".split())
+#: Elements and marks that hold the main text, and elements that never do whatever they hold.
+CONTENT = frozenset("article main .article .main .content .story .post .entry".split())
+NEVER = frozenset("nav aside header footer article/header article/footer".split())
+
+
+def marks_of(name: str, rest: str) -> list[str]:
+    """Words of class, id and role."""
+    marks = []
+    for found in MARKS.findall(rest):
+        for token in " ".join(found).split():
+            words = [w.lower() for w in WORD_OF_MARK.findall(token)]
+            if words and not (len(words) > 1 and words[0] in STATES):
+                marks += [f".{w}" for w in words]
+    if not CONTENT.isdisjoint([name, *marks]):
+        marks = [x for x in marks if x[1:] not in PLACES]
+    return [] if name in ("html", "body") else marks
 
 
 def sequence(page: str):
-    """(marks around, text or None, tag name or None, what the tag puts between words) for each text and tag of the page."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    inside: tuple[str, ...] = ()
+    """(innermost element around or None, text or None, tag name or None, what the tag puts between words) for each text and tag of the page; an element is (number, marks, the element around it)."""
+    stack: list[tuple[str, tuple]] = []
+    inside: tuple | None = None
+    number = 0
     for m in TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
@@ -65,24 +89,32 @@ def sequence(page: str):
             if any(name == x for x, _ in stack):
                 while stack.pop()[0] != name:
                     pass
-                inside = tuple(k for _, ks in stack for k in ks)
+                inside = stack[-1][1] if stack else None
         elif name not in EMPTY and not m["rest"].endswith("/"):
             if name in ("p", "li") and stack and name in (x for x, _ in stack[-4:]):  # an end tag left out
                 while stack.pop()[0] != name:
                     pass
-                inside = tuple(k for _, ks in stack for k in ks)
+                inside = stack[-1][1] if stack else None
             marks = [name]
             if name == "a":
                 marks = [next((f"{x}/a" for x, _ in reversed(stack) if x not in INLINE), "a")]
             elif name in ("header", "footer"):
                 marks = [f"article/{name}" if any(x in ("article", "main") for x, _ in stack) else name]
-            for found in MARKS.findall(m["rest"]):
-                marks += [f".{w.lower()}" for w in WORD_OF_MARK.findall(" ".join(found))]
-            stack.append((name, tuple(marks)))
-            inside = inside + tuple(marks)
+            number += 1
+            inside = (number, (*marks, *marks_of(name, m["rest"])), inside)
+            stack.append((name, inside))
         yield inside, None, m["close"] + name, " " if name in ("br", "img") else "" if name in INLINE else "\n"
 
 
+def around(element: tuple | None) -> list[tuple]:
+    """element and those around it, outermost first."""
+    out = []
+    while element:
+        out.append(element)
+        element = element[2]
+    return out[::-1]
+
+
 @lru_cache(maxsize=1)
 def weights() -> tuple[dict[str, float], dict[str, float]]:
     """Weights of surroundings and of tags, from the labelled pages."""
@@ -98,7 +130,7 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
                 if part in (OPEN, CLOSE):
                     main = part == OPEN
                 elif n := len(part.split()):
-                    for mark in set(inside):
+                    for mark in {x for e in around(inside) for x in e[1]}:
                         words[main][mark] += n
     odds = lambda c, x: math.log((c[True][x] + 0.5) / (c[False][x] + 0.5))
     of_words = {x: WORD_SCORE if odds(words, x) >= 0 else max(LEAST_WORD, odds(words, x)) for x in words[True].keys() | words[False].keys()}
@@ -106,17 +138,59 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
     return of_words, of_tags
 
 
+def scores(parts: list, of_words: dict[str, float]) -> dict[int, float]:
+    """What a word within an element is worth, by the number of the innermost element (0: none)."""
+    own: dict[int, float] = {}
+    marks_at: dict[int, tuple[str, ...]] = {}
+    element: dict[int, tuple | None] = {0: None}
+    n_words: Counter = Counter()
+    for inside, text, *_ in parts:
+        if text is not None and (n := len(text.split())):
+            at = inside[0] if inside else 0
+            element[at] = inside
+            n_words[at] += n
+    within: Counter = Counter()
+    for at, n in n_words.items():
+        for number, marks, _ in around(element[at]):
+            within[number] += n
+            if number not in own:
+                own[number] = min(of_words.get(x, WORD_SCORE) for x in marks)
+                marks_at[number] = marks
+    half = sum(n_words.values()) / 2
+    against = {k for k, w in own.items() if w <= 0}
+    wide = {k for k in against if within[k] > half and NEVER.isdisjoint(marks_at[k])}
+    good = {k for k, w in own.items() if w > 0 and not CONTENT.isdisjoint(marks_at[k])}
+    holds_good: set[int] = set()
+    reset: dict[int, int] = {}  # how many elements around a main do not count
+    for at in n_words:
+        numbers = [e[0] for e in around(element[at])]
+        reset[at] = max((i for i, k in enumerate(numbers) if k in good and marks_at[k][0] == "main"), default=0)
+        last = max((i for i, k in enumerate(numbers) if k in good), default=0)
+        holds_good.update(wide.intersection(numbers[:last]))
+    void = {k for k in wide if "form" in marks_at[k] or k in holds_good}
+
+    def worth() -> dict[int, float]:
+        return {at: min((own[e[0]] for e in around(element[at])[reset.get(at, 0) :] if e[0] not in void), default=WORD_SCORE) for at in element}
+
+    out = worth()
+    for k in sorted(wide - void):
+        if any(out[at] > 0 for at in n_words):
+            break
+        void.add(k)
+        out = worth()
+    return out
+
+
 def main_text(page: str | None) -> str:
     of_words, of_tags = weights()
-    known: dict[tuple[str, ...], float] = {}
+    parts = list(sequence(page or ""))
+    known = scores(parts, of_words)
     items: list[tuple[float, str | None, str]] = []
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
-    for inside, text, tag, between in sequence(page or ""):
+    for inside, text, tag, between in parts:
         if text is not None:
             text = references.unescape(text)
-            w = known.get(inside)
-            if w is None:
-                w = known[inside] = min((of_words.get(x, WORD_SCORE) for x in inside), default=WORD_SCORE)
+            w = known.get(inside[0] if inside else 0, WORD_SCORE)
             score = w * len(text.split())
             items.append((w, text, ""))
         else:

@@ -222,6 +222,26 @@ def test_pages_give_back_their_articles():
     assert content.main_text(page) == f"A & B\n{text} link\nTwo lines here"
 
 
+NAV, FOOT = "<nav><ul><li><a href=x>Home page</a></li></ul></nav>", "<footer>All rights.</footer>"
+ARTICLE = "<h1>A title</h1><p>Some words of an article that go on for a while.</p><p>So that it is long enough.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<body class="has-sidebar">{NAV}{ARTICLE}{FOOT}</body>', f'<body class="sidebar menu">{NAV}<div>{ARTICLE}</div>{FOOT}</body>', f'<body><div class="layout with-footer">{NAV}{ARTICLE}{FOOT}</div></body>',
+    f'<body>{NAV}<div class="top-story">{ARTICLE}</div>{FOOT}</body>', f'<body><form action=x><a href="#c"></a>{NAV}<div>{ARTICLE}</div>{FOOT}</form></body>', f'<body>{NAV}<div class="sidebar layout"><main>{ARTICLE}</main></div>{FOOT}</body>',
+    f'<body>{NAV}<div class="banner"><article>{ARTICLE}</article><div class="related">{NAV}</div></div>{FOOT}</body>', f'<body><div class="footer bottom">{NAV}<div>{ARTICLE}</div></div></body>',
+])
+def test_wrappers_do_not_hide_the_article(page):
+    assert content.main_text(f"<html>{page}</html>") == "A title\nSome words of an article that go on for a while.\nSo that it is long enough."
+
+
+def test_what_stands_beside_the_article_stays_out():
+    long = "<p>I do not agree with any of this, as I said before.</p>" * 9
+    for beside in (f'<section class="comments">{long}</section>', f"<aside><article>{long}</article></aside>", f'<div class="related">{NAV}<ul><li>Ten more</li></ul></div>', "<form><p>Your letter</p></form>"):
+        assert content.main_text(f"<body>{NAV}<div>{ARTICLE}</div>{beside}{FOOT}</body>").endswith("long enough.")
+    assert content.main_text(f"<body>{NAV}{FOOT}</body>") == ""
+
+
 def test_labelled_pages_are_learned():
     good = words_right = 0
     for page in content_labels.labelled_pages():
