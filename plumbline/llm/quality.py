@@ -10,8 +10,10 @@ held-out documents' median, plus SPREAD times the way from there to their 85 % q
 plus an allowance for short texts, for which a mean scatters.
 
 Scoring reads the model in shards of at most MODEL_ROWS n-grams by their next to last
-symbol; each shard adds the loss at the positions that are its own, so no worker ever
-holds more, whatever the model's size.  One shard is the rule.
+symbol; each shard adds the loss at the positions that are its own.  One shard is the rule.
+All shards are gathered on the driver and held as broadcasts, and a symbol's n-grams are not
+split further (256 shards at most): documents are not scored by joins, which rests on the
+number of byte n-grams growing far slower than the text (figures in the README).
 
 Defined cases: a null or empty text, and a language with fewer than LEAST_HELD held-out
 trusted documents (null is a language of its own), cannot be judged and stay; labels may
