@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +11,17 @@ ZONES = [(161, "Midtown Center", "Manhattan"), (237, "Upper West Side", "Manhatt
 LEVELS = 5
 
 
-def us_holidays(first: int = 2024, last: int = 2026) -> list[str]:
-    """ISO dates of ten US holidays in each year."""
+#: Observed US holidays (fixed values).
+HOLIDAYS = [
+    "2024-01-01", "2024-01-15", "2024-02-19", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-10-14", "2024-11-28", "2024-12-25",
+    "2025-01-01", "2025-01-20", "2025-02-17", "2025-05-26", "2025-06-19", "2025-07-04", "2025-09-01", "2025-10-13", "2025-11-27", "2025-12-25",
+    "2026-01-01", "2026-01-19", "2026-02-16", "2026-05-25", "2026-06-19", "2026-07-03", "2026-09-07", "2026-10-12", "2026-11-26", "2026-12-25",
+]
 
-    def nth(year: int, month: int, weekday: int, n: int) -> date:
-        d = date(year, month, 1)
-        return d + timedelta((weekday - d.weekday()) % 7 + 7 * (n - 1))
 
-    out = []
-    for y in range(first, last + 1):
-        last_may = date(y, 5, 31)
-        out += [date(y, 1, 1), nth(y, 1, 0, 3), nth(y, 2, 0, 3), last_may - timedelta(last_may.weekday()), date(y, 7, 4), nth(y, 9, 0, 1), nth(y, 10, 0, 2), date(y, 11, 11), nth(y, 11, 3, 4), date(y, 12, 25)]
-    return [d.isoformat() for d in out]
+def us_holidays(first: int = 2024, last: int = 2026) -> list[str]:
+    """ISO dates of the known holidays of these years."""
+    return [d for d in HOLIDAYS if first <= int(d[:4]) <= last]
 
 
 def is_holiday(ts: Column, days: list[str] | None = None) -> Column:
@@ -65,7 +63,10 @@ def zone_category(name: Column, borough: Column) -> Column:
 
 
 def zone_table(spark: SparkSession, zones=None) -> DataFrame:
-    return spark.createDataFrame(zones or ZONES, "location_id int, zone_name string, borough string")
+    """The zones as a local relation, whose size the planner knows."""
+    columns = zip(*(zones or ZONES))
+    kinds = {"location_id": pa.int32(), "zone_name": pa.string(), "borough": pa.string()}
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds)))
 
 
 def with_zone(df: DataFrame, location: str, zones: DataFrame) -> DataFrame:

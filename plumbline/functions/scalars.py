@@ -29,7 +29,9 @@ def parse_time(c: Column) -> Column:
 
 def parse_epoch_or_time(c: Column) -> Column:
     """As parse_time, and whole seconds since 1970 too."""
-    seconds = c.cast("string").try_cast("long")
+    text = c.cast("string")
+    # a cast that fails costs as much as an exception, so only digits are cast
+    seconds = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("long"))
     return F.when(seconds.isNotNull(), F.timestamp_seconds(seconds)).otherwise(parse_time(c))
 
 

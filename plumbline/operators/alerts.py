@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import smtplib
+import urllib.request
+from collections.abc import Callable, Sequence
+from email.message import EmailMessage
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 #: Colour of each severity in a chat message (fixed values).
 COLOURS = {"LOW": "#36a64f", "MEDIUM": "#ffcc00", "HIGH": "#ff9900", "CRITICAL": "#ff0000"}
 SUPPRESS_SECONDS, CONFIDENCE = 300.0, 0.7
+TALLY = pa.schema([("channel", pa.string()), ("sent", pa.int64()), ("failed", pa.int64())])
 
 
 def severity_rank(severity: Column) -> Column:
@@ -62,18 +68,78 @@ class Router:
     def register(self, name: str, send: Callable[[dict], bool]) -> None:
         self.channels[name] = send
 
-    def route(self, alerts: DataFrame) -> dict[str, int]:
-        """Successes by channel.  Alerts are few after suppression and come one at a time."""
-        sent = dict.fromkeys(self.channels, 0)
-        for row in alerts.withColumn("message", message()).withColumn("colour", colour(F.col("severity"))).toLocalIterator():
-            for name, send in self.channels.items():
-                try:
-                    sent[name] += bool(send(row.asDict(recursive=True)))
-                except Exception:  # a channel that fails does not stop the others
-                    pass
-        return sent
+    def route(self, alerts: DataFrame) -> dict[str, dict[str, int]]:
+        """{channel: {sent, failed}}.  The executors send what their partitions hold; a channel that fails does not stop the others.
+
+        Channels and what they refer to travel to the executors, so they must be picklable.  A
+        task that is run again sends its alerts again.
+        """
+        channels = dict(self.channels)
+
+        def send_all(batches):
+            tally = {name: [0, 0] for name in channels}
+            for b in batches:
+                for alert in b.to_pylist():
+                    for name, send in channels.items():
+                        try:
+                            worked = bool(send(alert))
+                        except Exception:  # counted as a failure of this channel
+                            worked = False
+                        tally[name][0 if worked else 1] += 1
+            yield pa.RecordBatch.from_pydict({"channel": list(tally), "sent": [x[0] for x in tally.values()], "failed": [x[1] for x in tally.values()]}, schema=TALLY)
+
+        told = alerts.withColumn("message", message()).withColumn("colour", colour(F.col("severity")))
+        rows = told.mapInArrow(send_all, "channel string, sent long, failed long").groupBy("channel").agg(F.sum("sent").alias("sent"), F.sum("failed").alias("failed")).collect()  # a row per channel
+        out = {name: {"sent": 0, "failed": 0} for name in channels}
+        out.update({r["channel"]: {"sent": r["sent"], "failed": r["failed"]} for r in rows})
+        return out
 
 
 def to_stdout(alert: dict) -> bool:
     print(alert["message"], flush=True)
     return True
+
+
+class Slack:
+    """Posts an alert to a web hook as a message with an attachment in the severity's colour."""
+
+    def __init__(self, url: str | None, enabled: bool = True, seconds: float = 5.0):
+        self.url, self.enabled, self.seconds = url, enabled, seconds
+
+    def payload(self, alert: dict) -> dict:
+        fact = lambda title, key: {"title": title, "value": str(alert.get(key) or "?"), "short": True}
+        facts = [fact("Entity", "entity_id"), fact("Rule", "rule_id"), fact("Type", "violation_type"), fact("Severity", "severity")]
+        return {"text": f":warning: *{alert['severity']}* finding: `{alert['rule_id']}`", "attachments": [{"color": alert["colour"], "fields": facts, "text": alert["message"]}]}
+
+    def __call__(self, alert: dict) -> bool:
+        if not self.enabled:
+            return True
+        if not self.url:
+            return False
+        body = json.dumps(self.payload(alert)).encode()
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"}, method="POST")
+        with urllib.request.urlopen(request, timeout=self.seconds) as answer:
+            return answer.status == 200
+
+
+class Email:
+    """Mails an alert as plain text."""
+
+    def __init__(self, to: Sequence[str], sender: str = "alerts@example.com", host: str = "localhost", port: int = 587, enabled: bool = True):
+        self.to, self.sender, self.host, self.port, self.enabled = list(to), sender, host, port, enabled
+
+    def mail(self, alert: dict) -> EmailMessage:
+        m = EmailMessage()
+        m["Subject"] = f"[{alert['severity']}] Finding: {alert['rule_id']}"
+        m["From"], m["To"] = self.sender, ", ".join(self.to)
+        m.set_content(alert["message"])
+        return m
+
+    def __call__(self, alert: dict) -> bool:
+        if not self.enabled:
+            return True
+        if not self.to:
+            return False
+        with smtplib.SMTP(self.host, self.port) as server:
+            server.send_message(self.mail(alert))
+        return True

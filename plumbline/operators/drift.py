@@ -24,13 +24,14 @@ def is_drift(psi: Column, threshold: float = DRIFT) -> Column:
     return F.coalesce(psi >= threshold, F.lit(False))
 
 
-def bucket_psi(df: DataFrame, value: str, is_current: str, by: Sequence[str] = (), bins: int = BINS, eps: float = EPSILON) -> DataFrame:
+def bucket_psi(df: DataFrame, value: str, is_current: str, by: Sequence[str] = (), bins: int = BINS, eps: float = EPSILON, exact: bool = False) -> DataFrame:
     """(by, psi): shares in equal buckets from the baseline's p10 to its p90; the outer buckets take what lies beyond.
 
     One pass makes the edges, one counts both sides by bucket; empty buckets count as eps.
     """
+    q = lambda p: F.percentile(value, F.lit(p)) if exact else F.percentile_approx(value, p, 10_000)
     d = df.where(F.col(value).isNotNull())
-    edges = d.where(~F.col(is_current)).groupBy(*by).agg(F.percentile(value, F.lit(0.1)).alias("_lo"), F.percentile(value, F.lit(0.9)).alias("_hi"))
+    edges = d.where(~F.col(is_current)).groupBy(*by).agg(q(0.1).alias("_lo"), q(0.9).alias("_hi"))
     j = d.join(edges, list(by)) if by else d.crossJoin(F.broadcast(edges))  # edges: one row
     raw = F.floor((F.col(value) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins))
     slot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), raw))

@@ -29,13 +29,15 @@ class Check:
     expected: dict[str, Column] = field(default_factory=dict)
     enabled: bool = True
 
-    def struct(self, details: bool = True) -> Column:
+    def struct(self, details: bool = True, reason: Column | None = None) -> Column:
+        """The finding, null where there is none; reason: a column that has the reason already."""
+        reason = self.reason if reason is None else reason
         text = lambda d: F.to_json(F.struct(*[c.alias(k) for k, c in d.items()])) if d else F.lit(None).cast("string")
         severity = self.severity_of if self.severity_of is not None else F.lit(self.severity)
-        fields = [F.lit(self.rule_id).alias("rule_id"), F.lit(self.name).alias("rule_name"), severity.alias("severity"), F.lit(self.violation_type).alias("violation_type"), self.reason.alias("reason")]
+        fields = [F.lit(self.rule_id).alias("rule_id"), F.lit(self.name).alias("rule_name"), severity.alias("severity"), F.lit(self.violation_type).alias("violation_type"), reason.alias("reason")]
         if details:
             fields += [text(self.details).alias("details"), text(self.expected).alias("expected")]
-        return F.when(self.reason.isNotNull(), F.struct(*fields))
+        return F.when(reason.isNotNull(), F.struct(*fields))
 
     def with_severity(self, severity: str) -> "Check":
         return replace(self, severity=severity, severity_of=None)
@@ -46,8 +48,15 @@ def findings(df: DataFrame, checks: Sequence[Check], keep: Sequence[str] = (), s
     live = [c for c in checks if c.enabled]
     if not live:
         raise ValueError("no check is enabled")
-    hit = df.where(F.coalesce(*[c.reason for c in live]).isNotNull())
-    rows = hit.select(*keep, *[c for c in snapshot if c not in keep], F.explode(F.array(*[c.struct(details) for c in live])).alias("_f")).where(F.col("_f").isNotNull())
+    if len(live) == 1:
+        rows = df.where(live[0].reason.isNotNull()).select(*keep, *[c for c in snapshot if c not in keep], live[0].struct(details).alias("_f"))
+        return rows.select(*keep, "_f.*", *([F.to_json(F.struct(*snapshot)).alias("record_snapshot")] if snapshot else []))
+    # a generator keeps the reasons from being put in again wherever they are used
+    made = df.select("*", F.explode(F.array(F.struct(*[c.reason.alias(f"r{i}") for i, c in enumerate(live)]))).alias("_reasons"))
+    of = [F.col(f"_reasons.r{i}") for i in range(len(live))]
+    hit = made.where(F.coalesce(*of).isNotNull())
+    each = F.filter(F.array(*[c.struct(details, r) for c, r in zip(live, of)]), lambda f: f.isNotNull())
+    rows = hit.select(*keep, *[c for c in snapshot if c not in keep], F.explode(each).alias("_f"))
     extra = [F.to_json(F.struct(*snapshot)).alias("record_snapshot")] if snapshot else []
     return rows.select(*keep, "_f.*", *extra)
 

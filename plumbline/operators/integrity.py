@@ -24,11 +24,12 @@ ENUMERATIONS = {"store_and_fwd_flag": ["Y", "N"], "trip_type": [1, 2], "passenge
 
 
 def in_reference_set(value: Column, field: str, allowed: Iterable | None = None, rule_id: str = "REF001") -> Check:
-    """Null is exempt.  Without allowed, the field's known range; a field that has none accepts nothing."""
+    """Null is exempt.  Without allowed, the field's known range of whole numbers (1.0 is one, the text "1.0" is not); a field that has none accepts nothing."""
     if allowed is not None:
         ok = value.isin(*allowed) if (allowed := list(allowed)) else F.lit(False)
     elif field in REFERENCE_RANGES:
-        ok = F.coalesce(value.cast("string").try_cast("int").between(*REFERENCE_RANGES[field]), F.lit(False))
+        whole = F.when(F.typeof(value) == "string", value.cast("string").try_cast("int").cast("double")).otherwise(value.cast("string").try_cast("double"))
+        ok = F.coalesce(whole.between(*REFERENCE_RANGES[field]) & (whole == F.floor(whole)), F.lit(False))
     else:
         ok = F.lit(False)
     return Check(rule_id, f"Reference of {field}", "MEDIUM", "REFERENTIAL", F.when(value.isNotNull() & ~ok, "FOREIGN_KEY_NOT_FOUND"), details={"value": value.cast("string")})

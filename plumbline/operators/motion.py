@@ -23,7 +23,7 @@ def motion_checks(lat: str = "latitude", lon: str = "longitude", ts: str = "ts")
     """CRS001 (speed that cannot be) and CRS002 (jumps), of rows made by with_previous."""
     metres = haversine_m(F.col("prev_lat"), F.col("prev_lon"), F.col(lat), F.col(lon))
     dt = (F.unix_micros(ts) - F.unix_micros("prev_ts")) / F.lit(1_000_000.0)
-    kmh = metres / dt * 3.6
+    kmh = F.try_divide(metres, dt) * 3.6  # null where no time has passed
     moved = F.col("prev_ts").isNotNull() & (dt > 0)
     jump = moved & (metres > JUMP_METRES) & (kmh < JUMP_KMH)
     severity = F.when(kmh < 1, "CRITICAL").when(kmh < 20, "HIGH").otherwise("MEDIUM")
@@ -40,7 +40,7 @@ def transit_motion_check(lat: str = "latitude", lon: str = "longitude", ts: str
     dt = (F.unix_micros(ts) - F.unix_micros("prev_ts")) / F.lit(1_000_000.0)
     had = F.col("prev_ts").isNotNull()
     still = had & (dt <= 0)
-    kmh = F.when(dt > 0, km / (dt / 3600.0)).otherwise(F.lit(9999.0 if strict_reference else 0.0))
+    kmh = F.when(dt > 0, F.try_divide(km, dt / 3600.0)).otherwise(F.lit(9999.0 if strict_reference else 0.0))
     reason = first_of((still & (km > 1), "GPS_TELEPORT"), (had & (kmh > 200), "IMPOSSIBLE_SPEED"), (had & (kmh > 120), "EXCEEDS_REASONABLE"))
     severity = F.when(reason == "EXCEEDS_REASONABLE", "HIGH").otherwise("CRITICAL")
     return Check("GTFSCRS001", "Vehicle moves at a possible speed", "CRITICAL", "CROSS_RECORD", reason, severity_of=severity, details={"km": F.bround(km, 3), "kmh": F.bround(kmh, 1)})

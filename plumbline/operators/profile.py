@@ -17,11 +17,11 @@ def inferred_type(df: DataFrame, name: str) -> list[Column]:
     return [F.count_if(c.isNotNull() & c.isin("true", "false", "True", "False")).alias("b"), F.count_if(whole).alias("i"), F.count_if(number & ~whole).alias("f"), F.count(c).alias("n")]
 
 
-def profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """(field, kind, n, n_null, null_rate, n_distinct, cardinality, min, max, mean, std, len_min, len_max, len_mean, flags).
 
-    All columns are measured in one pass; exact distinct counts expand rows by column, the
-    approximate ones do not and are for large tables.
+    All columns are measured in one pass; distinct counts are approximate; exact
+    ones expand rows by column.
     """
     numeric = (T.NumericType,)
     aggs, kinds = [F.count(F.lit(1)).alias("_n")], {}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import cumulative
+
 
 def summary(found: DataFrame, by: Sequence[str] = ("rule_id", "severity", "violation_type")) -> DataFrame:
     """(dimension, key, n) for each dimension and in total, by grouping sets over one scan."""
@@ -28,8 +30,11 @@ def violation_rate(found: DataFrame, events: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, value: str, by: Sequence[str] = (), p: Sequence[float] = (0.5, 0.99)) -> DataFrame:
     """sorted[floor(n p)] of each group.  Counts by value and running sums: no group's values are gathered."""
     d = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    d = d.withColumns({"_upto": F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
+    if by:
+        w = Window.partitionBy(*by)
+        d = d.withColumns({"_upto": F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
+    else:
+        d = cumulative(d, "_v", {"_upto": F.col("_c")}).crossJoin(F.broadcast(d.agg(F.sum("_c").alias("_n"))))  # one row
     picks = [F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * F.lit(x)), F.col("_v"))).alias(f"p{round(x * 100)}") for x in p]
     return d.groupBy(*by).agg(*picks)
 
@@ -56,11 +61,25 @@ def quality_events(events: DataFrame, found: DataFrame, ts: str, rules: Sequence
     )
 
 
-def sustained(windows: DataFrame, flag: Column, order: str, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """Adds firing: the flag held in this and the n - 1 windows before."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(-(n - 1), 0)
-    f = F.coalesce(flag, F.lit(False)).cast("int")
-    return windows.withColumn("firing", (F.min(f).over(w) == 1) & (F.count(F.lit(1)).over(w) == n))
+def filled(windows: DataFrame, order: str, step: int = 1, zeros: Sequence[str] = ("events", "violations", "errors")) -> DataFrame:
+    """windows with a row for each step from the first to the last: where nothing happened counts are 0 and the rest null."""
+    low, high = windows.agg(F.min(order), F.max(order)).first()  # two numbers
+    if low is None:
+        return windows
+    spine = windows.sparkSession.range(int(low), int(high) + 1, step).select(F.col("id").cast(windows.schema[order].dataType).alias(order))
+    out = spine.join(windows, order, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros if c in windows.columns})
+
+
+def sustained(windows: DataFrame, flag: Column, order: str, n: int, by: Sequence[str] = (), step: int = 1) -> DataFrame:
+    """Adds firing: the flag held in this and in each of the n - 1 windows before; a window that is missing did not hold.
+
+    order numbers the windows, step apart.  A window that holds is counted for itself and the
+    n - 1 after it, so there is no order to sort by.
+    """
+    held = windows.where(F.coalesce(flag, F.lit(False))).select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col(order) + k * step)).alias("_at"))
+    whole = held.groupBy(*by, F.col("_at").cast(windows.schema[order].dataType).alias(order)).agg(F.count(F.lit(1)).alias("_held"))
+    return windows.join(whole, [*by, order], "left").withColumn("firing", F.coalesce(F.col("_held") == n, F.lit(False))).drop("_held")
 
 
 #: Monitoring conditions on a table of windows (rate, events, p99_ms, error_rate, errors, p10, p90, violations): name, condition, minutes.
@@ -77,16 +96,19 @@ CONDITIONS = {
 }
 
 
-def conditions(windows: DataFrame, order: str, minutes_per_window: int = 1, names: Sequence[str] | None = None) -> DataFrame:
-    """(order, condition) of those that have held for their time."""
-    out = windows
+def conditions(windows: DataFrame, order: str, minutes_per_window: int = 1, names: Sequence[str] | None = None, step: int = 1) -> DataFrame:
+    """(order, condition) of those that have held for their time.  Windows without any event count too."""
     chosen = list(names or CONDITIONS)
+    w = filled(windows, order, step)
+    each = []
     for name in chosen:
         text, minutes = CONDITIONS[name]
         n = max(1, minutes // minutes_per_window)
-        out = sustained(out, F.expr(text), order, n).withColumnRenamed("firing", f"_c_{name}")
-    fired = F.array_compact(F.array(*[F.when(F.col(f"_c_{n}"), F.lit(n)) for n in chosen]))
-    return out.select(order, F.explode(fired).alias("condition"))
+        each.append(F.when(F.expr(text), F.struct(F.lit(name).alias("condition"), F.lit(n).alias("n"))))
+    ahead = F.explode(F.transform(F.sequence(F.lit(0), F.col("_c.n") - 1), lambda k: F.col(order) + k * step))
+    held = w.select(order, F.explode(F.array_compact(F.array(*each))).alias("_c")).select("_c.*", ahead.alias("_at"))
+    full = held.groupBy("condition", "n", F.col("_at").cast(windows.schema[order].dataType).alias(order)).agg(F.count(F.lit(1)).alias("_held")).where("_held = n")
+    return full.join(w.select(order), order, "left_semi").select(order, "condition")
 
 
 def tqs(events: DataFrame, ts: str, by: Sequence[str], value: str, key: str, low: float, high: float, width: str = "5 minutes", weights: Sequence[float] = (0.2, 0.2, 0.2, 0.2, 0.2)) -> DataFrame:

@@ -78,7 +78,7 @@ def speed_sane(distance: Column, seconds: Column, context: Column | None = None,
     most = F.lit(high)
     if context is not None:
         most = most + F.when(context["is_late_night"], 15.0).when(context["is_rush_hour"], -5.0).otherwise(0.0)
-    mph = d / (seconds / F.lit(3600.0))
+    mph = F.try_divide(d, seconds / F.lit(3600.0))  # null where no time has passed
     usable = seconds >= MIN_SECONDS
     reason = first_of((distance.isNull() | seconds.isNull(), None), (is_nan(distance), "NAN_VALUE"), (usable & (d <= 0), "ZERO_OR_NEGATIVE_DISTANCE"), (usable & (mph > most), "EXCEEDS_MAX_SPEED"))
     return Check(rule_id, "Average speed is sane", "MEDIUM", "SEMANTIC", reason, details={"mph": mph}, expected={"max": most})

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import cumulative
+
 
 def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -90,17 +92,10 @@ def ks_two_sample(df: DataFrame, value: str, is_second: str, slices: int = 256)
     of equal width, on top of what the slices before hold, so no task sorts all values.
     """
     d = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(~F.col(is_second)).alias("c1"), F.count_if(is_second).alias("c2"))
-    ends = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))  # one row
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices), F.lit(slices - 1))).otherwise(F.lit(0))
-    d = d.crossJoin(F.broadcast(ends)).withColumn("p", part)
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
-    base = d.groupBy("p").agg(F.sum("c1").alias("t1"), F.sum("c2").alias("t2"))
-    base = base.select("p", F.coalesce(F.sum("t1").over(before), F.lit(0)).alias("b1"), F.coalesce(F.sum("t2").over(before), F.lit(0)).alias("b2"))
-    w = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = d.withColumns({"r1": F.sum("c1").over(w), "r2": F.sum("c2").over(w)}).join(F.broadcast(base), "p")
-    gap = F.abs((F.col("b1") + F.col("r1")) / F.col("n1") - (F.col("b2") + F.col("r2")) / F.col("n2"))
-    out = run.groupBy("n1", "n2").agg(F.max(gap).alias("statistic"))
-    return out.withColumn("critical", F.lit(1.36) * F.sqrt((F.col("n1") + F.col("n2")) / (F.col("n1") * F.col("n2")))).select("statistic", "n1", "n2", "critical")
+    sizes = d.agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"))  # one row
+    run = cumulative(d, "v", {"r1": F.col("c1"), "r2": F.col("c2")}, slices).crossJoin(F.broadcast(sizes))
+    out = run.groupBy("n1", "n2").agg(F.max(F.abs(F.try_divide("r1", "n1") - F.try_divide("r2", "n2"))).alias("statistic"))
+    return out.withColumn("critical", F.lit(1.36) * F.sqrt(F.try_divide(F.col("n1") + F.col("n2"), F.col("n1") * F.col("n2")))).select("statistic", "n1", "n2", "critical")
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959964) -> tuple[Column, Column]:
@@ -132,8 +127,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(frame: DataFrame, c: str, name: str) -> DataFrame:
         counts = frame.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        r = counts.withColumn(name, F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).drop("_n")
+        r = cumulative(counts, c, {"_upto": F.col("_n")}).select(c, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
         return frame.join(r, c)
 
     both = ranks(ranks(d, x, "_rx"), y, "_ry")
@@ -141,7 +135,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def cohens_d(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: standardised difference of the means of two groups (a boolean column)."""
+    """One row: standardised difference of the means of two groups (a boolean column); null where they have no spread or too few rows."""
     g = df.agg(*[f.alias(n) for n, f in (("m1", F.avg(F.when(F.col(group), F.col(value)))), ("m0", F.avg(F.when(~F.col(group), F.col(value)))), ("v1", F.var_samp(F.when(F.col(group), F.col(value)))), ("v0", F.var_samp(F.when(~F.col(group), F.col(value)))), ("n1", F.count(F.when(F.col(group), F.col(value)))), ("n0", F.count(F.when(~F.col(group), F.col(value)))))])
-    pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
-    return g.select(((F.col("m1") - F.col("m0")) / pooled).alias("cohens_d"))
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2))
+    return g.select(F.try_divide(F.col("m1") - F.col("m0"), pooled).alias("cohens_d"))

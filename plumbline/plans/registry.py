@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import context_queries, cross_record, reference_joins, report_queries, source_queries, stateless, statistics, stream_queries  # noqa: F401
+from . import context_queries, cross_record, pipeline_queries, reference_joins, report_queries, source_queries, stateless, statistics, stream_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401

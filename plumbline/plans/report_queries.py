@@ -71,10 +71,19 @@ def _hours(spark, sf_dir):
 
 
 def _held(condition: str, n: int, name: str) -> str:
-    return f"SELECT hour, '{name}' AS condition FROM (SELECT hour, min(CASE WHEN {condition} THEN 1 ELSE 0 END) OVER w AS ok, count(*) OVER w AS n FROM h WINDOW w AS (ORDER BY hour ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) WHERE ok = 1 AND n = {n}"
+    return f"SELECT hour, '{name}' AS condition FROM (SELECT hour, min(CASE WHEN {condition} THEN 1 ELSE 0 END) OVER w AS ok, count(*) OVER w AS n FROM a WINDOW w AS (ORDER BY hour ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) WHERE ok = 1 AND n = {n}"
 
 
-@query("alert_conditions", f"WITH {HOURS} " + " UNION ALL ".join(_held(reports.CONDITIONS[k][0], max(1, reports.CONDITIONS[k][1] // 2), k) for k in reports.CONDITIONS))
+#: Hours without events count as windows too; the conditions and their numbers of two-minute windows, written out.
+ALL_HOURS = f"WITH {HOURS}, a AS (SELECT s.hour, coalesce(events, 0) AS events, coalesce(violations, 0) AS violations, violation_rate, error_rate, coalesce(errors, 0) AS errors, p10, p90, p99_ms FROM (SELECT unnest(range((SELECT min(hour) FROM h), (SELECT max(hour) FROM h) + 1)) AS hour) s LEFT JOIN h ON h.hour = s.hour) "
+HELD = [
+    _held("violation_rate > 0.15", 2, "high_violation_rate"), _held("violation_rate > 0.25", 1, "critical_violation_rate"), _held("events = 0", 1, "no_events"),
+    _held("p99_ms > 2000", 2, "slow_p99"), _held("p99_ms > 5000", 2, "very_slow_p99"), _held("error_rate > 0.1", 2, "high_error_rate"), _held("errors > 50", 2, "many_errors"),
+    _held("(p90 - p10) / (p10 + 0.001) > 10", 2, "threshold_spread"), _held("violations = 0", 15, "no_violations"),
+]
+
+
+@query("alert_conditions", ALL_HOURS + " UNION ALL ".join(HELD))
 def alert_conditions(spark, sf_dir):
     return reports.conditions(_hours(spark, sf_dir), "hour", minutes_per_window=2)
 
@@ -120,7 +129,7 @@ def contract_fields(spark, sf_dir):
   UNION ALL SELECT 'batch', 'int', count(*), count(*) - count(batch), count(DISTINCT batch), NULL, NULL, NULL, min(length(batch)), max(length(batch)) FROM ev
   UNION ALL SELECT 'event_type', 'string', count(*), count(*) - count(event_type), count(DISTINCT event_type), NULL, NULL, NULL, min(length(event_type)), max(length(event_type)) FROM ev""")
 def profile_query(spark, sf_dir):
-    p = profile.profile(events(spark, sf_dir).select("value", "user_id", "value_raw", "batch", "event_type"))
+    p = profile.profile(events(spark, sf_dir).select("value", "user_id", "value_raw", "batch", "event_type"), exact_distinct=True)
     r = p.withColumns({"min": F.round("min", 6), "max": F.round("max", 6), "mean": F.round("mean", 4), "len_min": F.col("len_min").cast("long"), "len_max": F.col("len_max").cast("long")})
     return r.select("field", "kind", "n", "n_null", "n_distinct", "min", "max", "mean", "len_min", "len_max")
 
@@ -129,7 +138,7 @@ def profile_query(spark, sf_dir):
 def profile_flags(spark, sf_dir):
     e = events(spark, sf_dir)
     d = e.select("event_id", F.lit("x").alias("one"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("hollow"), (F.lit(1000.0) + F.col("event_id") % 2).alias("level"), "value_raw", "event_type")
-    return profile.quality_flags(profile.profile(d)).where("flag <> 'HIGH_CARDINALITY: value_raw'")
+    return profile.quality_flags(profile.profile(d, exact_distinct=True)).where("flag <> 'HIGH_CARDINALITY: value_raw'")
 
 
 @query("null_rate", f"WITH {EVENTS} SELECT round((count(*) - count(value_raw) + count(*) - count(vehicle)) / (2.0 * count(*)), 6) AS null_rate FROM ev")

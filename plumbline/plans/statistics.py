@@ -23,7 +23,7 @@ def _rounded(df, names):
 @query("stats_field", f"WITH m AS (SELECT 'fare' AS field, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem) SELECT field, count(*) AS count, min(v) AS min, max(v) AS max, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, {QUANTILES} FROM m GROUP BY field")
 def stats_field(spark, sf_dir):
     d = star(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("fare"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
-    s = _rounded(stats.field_stats(d, ["fare", "quantity", "discount"]), stats.PERCENTILES)
+    s = _rounded(stats.field_stats(d, ["fare", "quantity", "discount"], exact=True), stats.PERCENTILES)
     return s.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 
@@ -51,10 +51,21 @@ def entropy_warnings(spark, sf_dir):
     return stats.entropy_warnings(h, "day").select("day", "entropy", "warning")
 
 
-@query("bootstrap_interval")
+BOOTSTRAP = """hist AS (SELECT value AS v, count(*) AS c FROM events GROUP BY 1),
+  below AS (SELECT c, k, sum(p) OVER (PARTITION BY c ORDER BY k) AS below FROM (SELECT c, k, exp(-c + k * ln(c) - lgamma(k + 1)) AS p FROM (SELECT unnest(range(1, 31)) AS c), (SELECT unnest(range(100)) AS k)) WHERE k < c + CAST(trunc(8 * sqrt(c)) AS BIGINT) + 8),
+  steps AS (SELECT c, list(below) AS steps FROM below GROUP BY c),
+  u AS (SELECT v, hist.c, i, steps, (('0x' || substr(md5('a42|' || i || '|' || printf('%.6f', v)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u, (('0x' || substr(md5('b42|' || i || '|' || printf('%.6f', v)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u2
+    FROM hist LEFT JOIN steps ON steps.c = hist.c, (SELECT unnest(range(100)) AS i)),
+  w AS (SELECT v, i, CASE WHEN steps IS NOT NULL THEN len(list_filter(steps, lambda s: s < u)) ELSE CAST(greatest(0, round(c + sqrt(c) * sqrt(-2 * ln(u)) * cos(2 * pi() * u2))) AS BIGINT) END AS w FROM u),
+  q AS (SELECT i, quantile_cont(v, 0.9) AS v FROM (SELECT v, i, unnest(range(w)) FROM w) GROUP BY i),
+  o AS (SELECT v, row_number() OVER (ORDER BY v) AS n FROM q)"""
+
+
+@query("bootstrap_interval", f"WITH {BOOTSTRAP} SELECT round(max(v) FILTER (WHERE n = 3), 6) AS low, round(max(v) FILTER (WHERE n = 97), 6) AS high FROM o")
 def bootstrap(spark, sf_dir):
     e = star(spark, sf_dir, "events")
-    return stats.bootstrap_interval(e, "value", 0.9)
+    b = stats.bootstrap_interval(e, "value", 0.9)
+    return b.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 LEVELS = [
@@ -66,7 +77,7 @@ CONTEXT_STATS = f"WITH {LOCATED}, {BY_LEVEL} SELECT level, ctx, count(*) AS coun
 
 
 def _context_stats(spark, sf_dir):
-    return stats.context_stats(located(spark, sf_dir), "value", "h", "b", "zone_category", "borough", "weekend")
+    return stats.context_stats(located(spark, sf_dir), "value", "h", "b", "zone_category", "borough", "weekend", exact=True)
 
 
 @query("stats_context", CONTEXT_STATS)
@@ -100,14 +111,14 @@ def sem001_context(spark, sf_dir):
 @query("sem001_global", counted_sql("g AS (SELECT value, (SELECT quantile_cont(value, 0.1) FROM events) AS p10, (SELECT quantile_cont(value, 0.9) FROM events) AS p90 FROM events)", ("SEM001", "'MEDIUM'", "CASE WHEN value < p10 OR value > 1.0 * p90 THEN 'OUT_OF_CONTEXTUAL_RANGE' END")))
 def sem001_global(spark, sf_dir):
     e = star(spark, sf_dir, "events")
-    s = stats.field_stats(e, ["value"]).select("p10", "p90")
+    s = stats.field_stats(e, ["value"], exact=True).select("p10", "p90")
     low, high = taxi_checks.fare_bounds(None, None, F.col("p10"), F.col("p90"))
     return counted(e.crossJoin(F.broadcast(s)), [taxi_checks.fare_range(F.col("value"), low, high / 2)])  # s: one row
 
 
 @query("stats_overrides", "WITH s AS (SELECT event_type AS field, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.9) AS p90 FROM events GROUP BY 1) SELECT field, CASE field WHEN 'click' THEN 5.0 ELSE round(p10, 6) END AS p10, CASE field WHEN 'view' THEN 300.0 ELSE round(p90, 6) END AS p90, CASE WHEN field IN ('click', 'view') THEN 'override' ELSE 'adaptive' END AS source FROM s")
 def stats_overrides(spark, sf_dir):
-    s = star(spark, sf_dir, "events").groupBy(F.col("event_type").alias("field")).agg(*stats.aggregates(F.col("value")))
+    s = star(spark, sf_dir, "events").groupBy(F.col("event_type").alias("field")).agg(*stats.aggregates(F.col("value"), exact=True))
     o = spark.createDataFrame([("click", "p10", 5.0), ("view", "p90", 300.0)], "field string, name string, value double")
     return _rounded(stats.with_overrides(s, o), ["p10", "p90"]).select("field", "p10", "p90", "source")
 
@@ -156,7 +167,7 @@ def _moved(spark, sf_dir):
   p AS (SELECT t.event_type, greatest(coalesce(c.e, 0) / t.et, 0.0001) AS e, greatest(coalesce(c.a, 0) / t.at, 0.0001) AS a FROM t CROSS JOIN range(10) s(i) LEFT JOIN c ON c.event_type = t.event_type AND c.slot = s.i)
   SELECT event_type, round(sum((a - e) * ln(a / e)), 6) AS psi, CASE WHEN sum((a - e) * ln(a / e)) >= 0.25 THEN 'CRITICAL' WHEN sum((a - e) * ln(a / e)) >= 0.2 THEN 'HIGH' WHEN sum((a - e) * ln(a / e)) >= 0.1 THEN 'MEDIUM' WHEN sum((a - e) * ln(a / e)) >= 0.05 THEN 'LOW' ELSE 'OK' END AS severity FROM p GROUP BY 1""")
 def psi_bucket(spark, sf_dir):
-    p = drift.bucket_psi(_moved(spark, sf_dir), "v", "is_current", ["event_type"])
+    p = drift.bucket_psi(_moved(spark, sf_dir), "v", "is_current", ["event_type"], exact=True)
     return p.select("event_type", F.round("psi", 6).alias("psi"), drift.level(F.col("psi")).alias("severity"))
 
 
@@ -165,7 +176,7 @@ def psi_bucket(spark, sf_dir):
   SELECT event_type, round(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.2 THEN 'HIGH' WHEN psi >= 0.1 THEN 'MEDIUM' WHEN psi >= 0.05 THEN 'LOW' ELSE 'OK' END AS severity, psi >= 0.2 AS drift FROM j""")
 def psi_approx(spark, sf_dir):
     m = _moved(spark, sf_dir)
-    of = lambda d: d.groupBy("event_type").agg(*stats.aggregates(F.col("v")))
+    of = lambda d: d.groupBy("event_type").agg(*stats.aggregates(F.col("v"), exact=True))
     r = drift.drift_report(of(m.where("NOT is_current")), of(m.where("is_current")), ["event_type"])
     return r.withColumn("psi", F.round("psi", 6))
 
@@ -175,7 +186,7 @@ def psi_approx(spark, sf_dir):
 def psi_by_context(spark, sf_dir):
     d = _split(located(spark, sf_dir))
     key = F.concat_ws("_", "b", "zone_category", F.when(F.col("weekend"), "weekend").otherwise("weekday"))
-    of = lambda x: x.groupBy(key.alias("ctx")).agg(*stats.aggregates(F.col("value")))
+    of = lambda x: x.groupBy(key.alias("ctx")).agg(*stats.aggregates(F.col("value"), exact=True))
     r = drift.drift_report(of(d.where("NOT is_current")), of(d.where("is_current")), ["ctx"])
     return r.where("psi IS NOT NULL").select("ctx", F.round("psi", 6).alias("psi"))
 

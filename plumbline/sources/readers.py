@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import cumulative
+
 
 def parquet(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -74,6 +76,18 @@ def replayed(df: DataFrame, seed: int | None = None) -> DataFrame:
     return df if seed is None else df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]))
 
 
+def paced(spark: SparkSession, records: DataFrame, order: str, per_second: int, seed: int | None = None) -> DataFrame:
+    """A stream of the records, so many a second, in order or in a random order that reruns repeat.
+
+    Records are numbered from 0 and joined with the numbers that the rate source counts up, so
+    the pace is the source's and no task holds them all.  Adds arrived, the time of the number.
+    """
+    at = records if seed is None else records.withColumn("_order", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in records.columns]))
+    numbered = cumulative(at, order if seed is None else "_order", {"_n": F.lit(1)}).withColumn("_n", F.col("_n") - 1)
+    ticks = rate_stream(spark, per_second).select(F.col("timestamp").alias("arrived"), F.col("value").alias("_n"))
+    return ticks.join(numbered.drop("_order"), "_n").drop("_n")
+
+
 def deduplicated(stream: DataFrame, ts: str, keys: list[str], late: str = "24 hours") -> DataFrame:
     """Streaming ingest guard: one record per key within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)

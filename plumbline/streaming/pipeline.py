@@ -62,14 +62,20 @@ class FindingStore:
     """Findings as a Parquet table partitioned by rule, with the queries of a store."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.schema = spark, path, None
 
     def append(self, found: DataFrame) -> None:
         good, _ = valid_findings(found)
         good.write.mode("append").partitionBy("rule_id").parquet(self.path)
+        self.schema = good.schema
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)  # a store without rows tells no schema
+        return reader.parquet(self.path)
+
+    def read_run(self, run: str) -> DataFrame:
+        """The findings that were appended with this mark in their column run; none if there were none."""
+        return self.read().where(F.col("run") == run)
 
     def query(self, limit: int = 1000, **where: str) -> DataFrame:
         d = self.read()

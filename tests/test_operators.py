@@ -104,8 +104,9 @@ def test_keys_of_the_hierarchy(spark):
 
 
 def test_holidays_are_thirty():
-    days = ctx.us_holidays()
-    assert len(days) == 30 and {"2024-01-01", "2024-07-04", "2025-11-27", "2026-12-25", "2024-05-27"} <= set(days)
+    months = {2024: "01-01 01-15 02-19 05-27 06-19 07-04 09-02 10-14 11-28 12-25", 2025: "01-01 01-20 02-17 05-26 06-19 07-04 09-01 10-13 11-27 12-25", 2026: "01-01 01-19 02-16 05-25 06-19 07-03 09-07 10-12 11-26 12-25"}
+    assert ctx.us_holidays() == [f"{y}-{d}" for y, days in months.items() for d in days.split()]
+    assert ctx.us_holidays(2025, 2025)[0] == "2025-01-01" and len(ctx.us_holidays(2025, 2025)) == 10
 
 
 def test_drift_numbers(spark):
@@ -182,10 +183,38 @@ def test_alert_router(spark):
     found = spark.createDataFrame([("R", "e", "X", "HIGH", T0, 1), ("R", "e", "X", "HIGH", T0 + timedelta(seconds=10), 2), ("R", "e", "X", "LOW", T0, 3), ("R", "e", "X", "HIGH", T0 + timedelta(seconds=300), 4)], "rule_id string, entity_id string, violation_type string, severity string, ts timestamp, n int")
     sent = alerts.to_send(found, "ts", "n")
     assert sorted(r["n"] for r in sent.collect()) == [1, 4]
-    r, got = alerts.Router(), []
-    r.register("list", lambda a: got.append(a["message"]) or True)
+    r = alerts.Router()
+    r.register("told", lambda a: a["message"] == "[HIGH] R on e: X")
     r.register("broken", lambda a: 1 / 0)
-    assert r.route(sent) == {"list": 2, "broken": 0} and got[0] == "[HIGH] R on e: X"
+    r.register("nowhere", alerts.Slack(None))
+    assert r.route(sent) == {"told": {"sent": 2, "failed": 0}, "broken": {"sent": 0, "failed": 2}, "nowhere": {"sent": 0, "failed": 2}}
+    assert r.route(sent.where("false"))["told"] == {"sent": 0, "failed": 0}
+
+
+def test_channels():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    got = []
+
+    class Hook(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    alert = {"severity": "HIGH", "rule_id": "R", "entity_id": "e", "violation_type": "X", "message": "m", "colour": "#ff9900"}
+    server = HTTPServer(("127.0.0.1", 0), Hook)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    assert alerts.Slack(f"http://127.0.0.1:{server.server_port}/")(alert)
+    server.server_close()
+    assert got[0]["attachments"][0]["color"] == "#ff9900" and got[0]["attachments"][0]["text"] == "m"
+    assert alerts.Slack(None, enabled=False)(alert) and not alerts.Email([])(alert)
+    mail = alerts.Email(["a@example.org", "b@example.org"]).mail(alert)
+    assert mail["Subject"] == "[HIGH] Finding: R" and mail["To"] == "a@example.org, b@example.org" and mail.get_content() == "m\n"
 
 
 def test_comparison_of_methods():
@@ -205,6 +234,150 @@ def test_overall_entropy_of_a_constant_is_zero(spark):
 def test_condition_must_hold_for_its_windows(spark):
     df = spark.createDataFrame([(i, i >= 2) for i in range(6)], "w int, f boolean")
     assert [r["firing"] for r in reports.sustained(df, F.col("f"), "w", 3).orderBy("w").collect()] == [False] * 4 + [True] * 2
+    gap = df.where("w <> 3")
+    assert not any(r["firing"] for r in reports.sustained(gap, F.col("f"), "w", 3).collect())
+
+
+def test_effect_size_of_constants(spark):
+    df = spark.createDataFrame([(1.0, True), (1.0, True), (1.0, False), (1.0, False)], "v double, g boolean")
+    assert validate.cohens_d(df, "v", "g").first()[0] is None
+    assert validate.cohens_d(df.where("false"), "v", "g").first()[0] is None
+
+
+def test_bootstrap_weights_are_poisson(spark):
+    from collections import Counter
+
+    import numpy as np
+
+    values = np.repeat(np.arange(200.0), 5).tolist() + [500.0] * 1000  # counts of 5, and one of 1000
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    low, high = stats.bootstrap_interval(df, "v", 0.25).first()
+    draws = np.random.default_rng(1).poisson([[c for c in Counter(values).values()]] * 400)
+    found = [np.percentile(np.repeat(list(Counter(values)), w), 25) for w in draws]
+    assert low == pytest.approx(np.percentile(found, 2.5), abs=3) and high == pytest.approx(np.percentile(found, 97.5), abs=3)
+
+
+def test_order_without_a_task_for_all(spark):
+    from plumbline.operators import ordered
+
+    df = spark.createDataFrame([(i * i % 97, i) for i in range(97)] + [(None, 200)], "v int, i int")
+    got = {(r["v"], r["i"]): r["s"] for r in ordered.cumulative(df, "v", {"s": F.lit(1)}, slices=7).collect()}
+    assert sorted(got.values()) == list(range(1, 99)) and got[None, 200] == 1
+    rows = sorted(((v, s) for (v, _), s in got.items() if v is not None), key=lambda x: x[1])
+    assert [v for v, _ in rows] == sorted(v for v, _ in rows)
+
+
+def test_anchored_windows_in_small_batches(spark):
+    import random
+
+    from plumbline.operators import greedy
+
+    r = random.Random(4)
+    rows = [(r.choice([None, "a", "b", "c"]), r.randint(0, 300) / 2, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t double, n int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {x["n"]: (x["opens"], x["at"]) for x in greedy.anchored(df, "k", "t", "n", 5.0, members="at").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for key in (None, "a", "b", "c"):
+        anchor = None
+        for t, n in sorted((t, n) for k, t, n in rows if k == key):
+            opens = anchor is None or t - anchor >= 5.0
+            anchor, at = (t, 1) if opens else (anchor, at + 1)  # noqa: F821
+            assert got[n] == (opens, at)
+
+
+def test_replay_keeps_its_pace(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(30)], "n int, what string")
+    q = readers.paced(spark, df, "n", 1000).writeStream.format("memory").queryName("paced").option("checkpointLocation", str(tmp_path)).start()
+    try:
+        for _ in range(60):
+            if spark.sql("SELECT count(*) FROM paced").first()[0] == 30:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    assert [r["what"] for r in spark.sql("SELECT what FROM paced ORDER BY arrived, n").collect()] == [f"r{i}" for i in range(30)]
+
+
+def test_feed_over_http(spark):
+    import struct
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from plumbline.sources import vehicle_feed
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    part = lambda field, body: varint(field << 3 | 2) + varint(len(body)) + body
+    whole = lambda field, n: varint(field << 3) + varint(n)
+    real = lambda field, x: varint(field << 3 | 5) + struct.pack("<f", x)
+    vehicle = part(1, part(1, b"t1") + part(5, b"r7") + whole(6, 1)) + part(2, real(1, 40.5) + real(2, -74.25) + real(5, 3.5)) + whole(5, 1705312790) + part(8, part(1, b"bus 1"))
+    body = part(1, part(1, b"2.0") + whole(3, 1705312800)) + part(2, part(1, b"e1") + part(4, vehicle)) + part(2, part(1, b"e2"))
+
+    class Feed(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Content-Type", "application/x-protobuf")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Feed)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(VehicleFeed)
+        r = spark.read.format("vehicle_feed").option("url", f"http://127.0.0.1:{server.server_port}/").option("agency", "x").load().collect()
+    finally:
+        server.shutdown()
+    assert [(x["vehicle_id"], x["latitude"], x["longitude"], x["speed"], x["route_id"], x["direction_id"], x["timestamp"]) for x in r] == [("bus 1", 40.5, -74.25, 3.5, "r7", 1, 1705312790)]
+    with pytest.raises((ValueError, IndexError)):
+        vehicle_feed.decoded(body[:-1])
+
+
+def test_pipeline_counts_and_stages(spark, tmp_path):
+    from plumbline.pipeline import Pipeline
+
+    rows = [(f"t{i // 2}", str(10 + i // 2), "100", "2024-01-15 10:00:00", "2024-01-15 10:20:00", "2", i) for i in range(10)] + [("bad", "-1", "900", "2024-01-15 10:01:00", "2024-01-15 10:20:00", "2", 10)]
+    df = spark.createDataFrame(rows, "trip_id string, fare_amount string, PULocationID string, tpep_pickup_datetime string, tpep_dropoff_datetime string, trip_distance string, n int")
+    router = alerts.Router()
+    router.register("told", lambda a: True)
+    c = contracts.Contract("live", tier="BRONZE", required_rules=("SYN001", "SYN002", "CRS003"))
+    p = Pipeline(spark, "nyc_taxi", F.lit(T0).cast("timestamp"), c, store=str(tmp_path / "store"), router=router, order="n")
+    assert p.stage == "idle" and p.profile_dataset(df).count() == 7 and p.stage == "idle"
+    out = p.process(df)
+    assert out.metrics["lifecycle_stage"] == "monitoring" and out.metrics["total_events"] == 11
+    assert out.metrics["by_rule"] == {"SYN001": 1, "SYN002": 1, "CRS003": 5} and out.metrics["alerts"]["told"]["sent"] == 7
+    assert p.evaluated().first()["total"] == 11 and out.quality.agg(F.sum("events")).first()[0] == 11
+    p.process(df.where("n < 2"))
+    assert p.metrics()["total_events"] == 13
+    clean = p.process(df.where("n = 0"))
+    assert clean.found.count() == 0
+    p.reset()
+    assert p.metrics()["total_events"] == 0 and p.stage == "idle"
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from plumbline import __main__ as cli
+
+    spark.createDataFrame([("v", 1.0, 2.0, "400", "2024-01-15T10:00:00Z")], "vehicle_id string, latitude double, longitude double, speed string, timestamp string").write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(cli, "build_session", lambda *a, **k: spark)
+    assert cli.main(["batch", "--entity", "gtfs", "--path", str(tmp_path / "in"), "--store", str(tmp_path / "out"), "--as-of", "2024-01-15 10:00:00"]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["by_rule"] == {"GTFSSyn003": 1, "GTFSSem001": 1}
+    assert cli.main(["profile", "--path", str(tmp_path / "in")]) == 0 and "vehicle_id" in capsys.readouterr().out
+    assert cli.main(["stream", "--once", "--entity", "gtfs", "--path", str(tmp_path / "in"), "--store", str(tmp_path / "out2"), "--checkpoint", str(tmp_path / "cp"), "--as-of", "2024-01-15 10:00:00"]) == 0
+    assert json.loads(capsys.readouterr().out)["total_violations"] == 2
+    with pytest.raises(SystemExit):
+        cli.main(["batch"])
 
 
 def test_scoring_falls_back(spark):
@@ -243,3 +416,12 @@ def test_empty_tables(spark):
     assert findings(df, [taxi_checks.fare_valid(F.col("v"))]).count() == 0
     with pytest.raises(ValueError):
         findings(df, [])
+
+
+def test_fallback_with_and_without_broadcast(spark):
+    s = spark.createDataFrame([(0, "a", 5, 1.0), (1, "b", 200, 2.0), (4, "global", 900, 3.0)], "level int, ctx string, count long, p10 double")
+    keys = F.array(*[F.struct(F.lit(i).alias("level"), F.col(c).alias("key")) for i, c in ((0, "x"), (1, "y"), (4, "z"))])
+    df = spark.createDataFrame([(1, "a", "b", "global"), (2, "a", "q", "global"), (3, "a", "q", "q")], "i int, x string, y string, z string").withColumn("keys", keys)
+    for rows in (10, 0):
+        got = {r["i"]: r["stat"] and r["stat"]["p10"] for r in stats.with_fallback(df, "keys", s, "i", 100, broadcast_rows=rows).collect()}
+        assert got == {1: 2.0, 2: 3.0, 3: None}
