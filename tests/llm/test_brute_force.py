@@ -256,7 +256,7 @@ def plain_kneser_ney(texts, order):
     """Probability of a symbol after a context, restated with dictionaries."""
     raw = Counter()
     for t in texts:
-        a = bytes(quality.symbols([t], order))
+        a = tuple(quality.symbols([t], order)[0].tolist())
         for i in range(order - 1, len(a)):
             raw[a[i - order + 1 : i + 1]] += 1
     levels = {order: raw}
@@ -276,7 +276,7 @@ def plain_kneser_ney(texts, order):
     def p(g):
         n = len(g)
         if not n:
-            return 1 / 256
+            return 1 / quality.ALPHABET
         ctx = (n, g[:-1])
         if not total[ctx]:
             return p(g[1:])
@@ -286,29 +286,61 @@ def plain_kneser_ney(texts, order):
     return p
 
 
-@pytest.mark.parametrize("rows", [4_000_000, 150])
-def test_losses_are_those_of_kneser_ney(spark, monkeypatch, rows):
-    monkeypatch.setattr(quality, "MODEL_ROWS", rows)
+@pytest.mark.parametrize(("rows", "block"), [(2_000_000, 1 << 24), (3, 100)])
+def test_losses_are_those_of_kneser_ney(spark, monkeypatch, rows, block):
+    monkeypatch.setattr(quality, "MODEL_ROWS", rows)  # 3: hundreds of shards
+    monkeypatch.setattr(quality, "BLOCK_BYTES", block)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", block)
+    monkeypatch.setattr(quality, "BLOCK_GROUP", 2)
     r = random.Random(6)
-    texts = [" ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", "é"]) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    texts = [" ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", "é", "\0"]) for _ in range(r.randint(1, 30))) for _ in range(60)]
     df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    shards = quality.model_shards(quality.kneser_ney(quality.ngram_counts(df)))
-    assert len(shards) > 1 or rows > 1000
-    tests = ["the cat sat", "zebra!!", "", "cat cat cat cat cat", "é"]
-    got = quality.with_loss(spark.createDataFrame([(t, x) for t in tests for x in ("en", "fr")], "text string, lang string"), shards).collect()
+    model = quality.kneser_ney(quality.ngram_counts(df))
+    assert model.count() > 300 * rows or rows > 1000
+    tests = ["the cat sat", "zebra!!", "", "cat cat cat cat cat", "é", "ab\0cd words", "\0", "the \0\0 cat\n\nsat"] + texts[:10]
+    got = quality.with_loss(spark.createDataFrame([(t, x, 7) for t in tests for x in ("en", "fr", None)], "text string, q_key string, block int"), model).collect()
+    assert len(got) == 3 * len(tests)
     p = plain_kneser_ney([t.encode() for t in texts], quality.ORDER)
     for row in got:
-        if row["lang"] == "fr":
+        if row["q_key"] != "en":
             assert row["q_loss"] is None and row["q_symbols"] is None
             continue
-        a = bytes(quality.symbols([row["text"].encode()]))
+        a = tuple(quality.symbols([row["text"].encode()])[0].tolist())
         want = -sum(math.log(p(a[i - 4 : i + 1])) for i in range(4, len(a)))
         assert row["q_symbols"] == len(a) - 4 and row["q_loss"] == pytest.approx(want, rel=1e-4)
 
 
 def test_runs_of_words_are_one_symbol():
-    assert bytes(quality.symbols([b"x y y z", b"q q q r"])) == b"\0\0\0\0x y \x01 z\n\0\0\0\0q q \x01 r\n"
-    assert bytes(quality.symbols([b"In. In. In. In. In. cat"])).count(b"In.") == 2
+    pad, end, rep = [quality.PAD] * 4, [quality.END], quality.REPEAT
+    a, start = quality.symbols([b"x y y z", b"q q q r", b"a\0b"])
+    assert a.tolist() == pad + [*b"x y ", rep, *b" z"] + end + pad + [*b"q q ", rep, *b" r"] + end + pad + [*b"a\0b"] + end
+    assert start.tolist() == [0, 12, 24]
+    assert bytes(x for x in quality.symbols([b"In. In. In. In. In. cat"])[0].tolist() if x < 256).count(b"In.") == 2
+
+
+def test_thresholds_are_quantiles(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, float(n * (m + s * r.standard_normal())), int(n)) for k, m, s in (("=a", 1.0, 0.02), ("=b", 2.0, 0.05)) for n in r.integers(500, 5000, 400)]
+    rows.append(("=c", 5.0, 1))
+    got = {x["q_key"]: x["q_limit"] for x in quality.limits(spark.createDataFrame(rows, "q_key string, q_loss double, q_symbols long")).collect()}
+    x = {k: np.sort([a / n - quality.SHORT / n**0.5 for key, a, n in rows if key == k]) for k in ("=a", "=b")}
+    at = lambda v, q: v[int(np.ceil(q * len(v))) - 1]
+    mid, way = {k: at(v, 0.5) for k, v in x.items()}, {k: at(v, 0.85) - at(v, 0.5) for k, v in x.items()}
+    others = sum(way.values()) / 2
+    way = {k: (400 * w + 20 * others) / 420 for k, w in way.items()}
+    far = at(np.sort(np.concatenate([(x[k] - mid[k]) / way[k] for k in x])), quality.TAIL)
+    assert got == pytest.approx({k: mid[k] + far * way[k] for k in x}, rel=1e-9)
+
+
+def test_small_languages_share_a_model(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice("river stone bridge market winter morning people water street house".split()) for _ in range(80))
+    junk = lambda: "".join(r.choice("#$%&*QXZ0123456789") for _ in range(400))
+    rows = [(i, text(), "en") for i in range(100)] + [(100 + i, text(), "xx") for i in range(4)] + [(200, junk(), "xx"), (201, text(), "xx"), (202, junk(), "en"), (203, junk(), "zz"), (204, text(), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(104)], "doc_id long, quality int, toxic int")
+    kept = {x["doc_id"]: x["q_keep"] for x in quality.judged(docs, labels).select("q_row.doc_id", "q_keep").collect()}
+    assert not kept[200] and not kept[202] and kept[201] and kept[203] and kept[204]
 
 
 def test_quality_on_labelled_documents(spark):
