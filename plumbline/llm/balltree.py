@@ -2,12 +2,14 @@
 
 A node holds the centre c and radius r of its vectors, so no vector in it has an inner
 product with q above q.c + |q| r.  A query takes the nodes of a tree by that bound, the
-highest first, and stops when the bound falls below its current k-th score.  Every query
-first searches the shard that holds its own vector; the k-th score found there is then the
-start for all other shards, so that they open only nodes that can still change the result.
+highest first, and stops when the bound falls below its current k-th score.  Shards share
+that score in rounds: every query first searches the shard that holds its own vector, then
+one in FIRST of the others, then the rest, each round from the k-th score of all before, so
+that later shards open only nodes that can still change the result.
 
-Components become floor(scale * x) and scores are integers: dot products are taken in
-doubles where they are exact, else in Python integers, kept within a long.
+Components become floor(scale * x) (doubles of 2^53 and more are whole as they are) and
+scores are integers: dot products are taken in doubles where they are exact, else in Python
+integers, kept within a long.
 
 Defined cases: null ids, null vectors and vectors with null or non-finite components take
 no part; vectors of different lengths are no candidates of each other; ties go to the
@@ -29,6 +31,8 @@ from .common import staged, table
 from .vectors import QUERY_BLOCK, SHARD_ARROW, SHARD_ROWS, SHARD_SCHEMA, clean, dealt, gathered, met, rows_batch
 
 LEAF_ROWS = 128
+#: One of so many shards is searched before the others.
+FIRST = 8
 EXACT = 2.0**53
 
 
@@ -125,7 +129,7 @@ class BallTree:
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by every."""
     v = clean(vectors, id_col, vec_col)
-    v = v.select("id", F.transform("vec", lambda x: F.when(F.abs(x) < 2.0**40, F.floor(x * F.lit(scale)).cast("double")).otherwise(x * F.lit(scale))).alias("vec"))
+    v = v.select("id", F.transform("vec", lambda x: F.when(F.abs(x * F.lit(scale)) < EXACT, F.floor(x * F.lit(scale)).cast("double")).otherwise(x * F.lit(scale))).alias("vec"))
 
     def build(batches):
         """A row per shard, and a row per shard's queries with what the shard itself gives them."""
@@ -181,10 +185,28 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
                 rows += [(int(np.frombuffer(ids, np.int64)[0]), i, s) for s, i in found]
             yield rows_batch(rows, hits)
 
+    def raised(batches):
+        """Query rows with a better k-th score, which is null if there are less than k hits."""
+        for b in batches:
+            kth, extra = b.column("kth").to_pylist(), b.column("extra").to_pylist()
+            better = [e if s is None else np.array([max(float(s), np.frombuffer(e, np.float64, 1)[0])]).tobytes() + e[8:] for s, e in zip(kth, extra)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in SHARD_ARROW.names[:-1]), pa.array(better, pa.binary())], schema=SHARD_ARROW)
+
+    def id_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x, np.int64)[0]) for x in b.column("ids").to_pylist()], pa.int64()), *b.columns], names=["qid", *b.schema.names])
+
     schema = "query_id long, vec_id long, score long"
-    blocks = queries.repartition(max(1, queries.count() // QUERY_BLOCK)).mapInArrow(pack, SHARD_SCHEMA)
-    found = met(shards, blocks, search, schema, hits).unionByName(queries.select("ids", "extra").mapInArrow(at_home, schema))
+    n = max(1, queries.count() // QUERY_BLOCK)
+    in_blocks = lambda q: q.repartition(n).mapInArrow(pack, SHARD_SCHEMA)
+    early = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    some = met(shards.where(early), in_blocks(queries), search, schema, hits).unionByName(queries.select("ids", "extra").mapInArrow(at_home, schema))
+    some = staged(some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "first-hits")
+    kth = some.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
+    known = queries.mapInArrow(id_of, f"qid long, {SHARD_SCHEMA}")
+    known = known.join(kth, known["qid"] == kth["query_id"], "left").select(*SHARD_ARROW.names, "kth").mapInArrow(raised, SHARD_SCHEMA)
+    found = met(shards.where(~early), in_blocks(known), search, schema, hits).unionByName(some)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
