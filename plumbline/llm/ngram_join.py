@@ -6,16 +6,16 @@ permutations are cut into bands; how many bands of how many rows follows from th
 wanted at the threshold.  Nodes with a band in common are candidates: each bucket links its
 nodes to its smallest one, a row per node and not per pair, and the connected components of
 these links hold all candidate pairs.  Within a component all pairs are verified on their
-full n-gram sets.  Components of more than BLOCK nodes are cut into blocks, and every pair
-of blocks is a task of its own; what a task returns is a count per node and a spanning
-forest, never the pairs.
+full n-gram sets, each pair once, however many bands it shares.  Components of more than
+BLOCK nodes or BLOCK_GRAMS n-grams are cut into blocks, and every pair of blocks is a task of
+its own; what a task returns is a count per node and a spanning forest, never the pairs.
 
 A document's class is the smallest doc_id of its component of verified links.
 
 Defined cases: a null text counts as empty; a text without words is linked to nothing, so
 only copies share its class; null ids are no class ids as long as the class has another;
 rows that are alike are copies; an empty table gives an empty table; other columns are not
-read.  N-grams and texts are compared by 64-bit hashes.
+read.  Texts are told apart by two 64-bit hashes, n-grams by one.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, DOCUMENT_COLUMNS, batched, staged, table, tidy
@@ -35,9 +35,12 @@ from .components import components
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Permutations that a text may cost at most.
 MAX_HASHES = 128
-#: Nodes that are compared at a time, and nodes of small components that share a task.
-BLOCK, GROUP = 512, 2000
-CACHE_WORDS = 100_000
+#: Nodes that are compared at a time, and n-grams of a block, or of small components that share a task, about.
+BLOCK, BLOCK_GRAMS = 512, 1 << 21
+#: Bits of the first hash of a text.
+IDENTITY_BITS = 64
+#: Words that a worker keeps at most, and characters of one.
+CACHE_WORDS, CACHE_CHARS = 100_000, 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD_HASHES: dict[str, int] = {}
@@ -70,8 +73,11 @@ def ngram_hashes(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarra
     """64-bit hashes of the n-grams of all texts, one after the other, and the number of each text's."""
     split = [(t or "").lower().split() for t in texts]
     new, digest = set().union(*split) - _WORD_HASHES.keys(), xxhash.xxh64_intdigest
-    known = _WORD_HASHES if len(_WORD_HASHES) < CACHE_WORDS else dict(_WORD_HASHES)  # words that come often come early
-    known.update((w, digest(w.encode("utf-8", "surrogatepass"))) for w in new)
+    room = len(_WORD_HASHES) < CACHE_WORDS  # words that come often come early
+    if room:
+        _WORD_HASHES.update((w, digest(w.encode("utf-8", "surrogatepass"))) for w in new if len(w) <= CACHE_CHARS)
+    rest = {w: digest(w.encode("utf-8", "surrogatepass")) for w in new if not room or len(w) > CACHE_CHARS}
+    known = {**_WORD_HASHES, **rest} if rest else _WORD_HASHES
     n = np.array([len(w) for w in split], np.int64)
     total = int(n.sum())
     h = np.fromiter((known[w] for ws in split for w in ws), np.uint64, total)
@@ -183,6 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         for b in batches:
             texts = b.column(2).to_pylist()
             found: list = [None] * len(texts)
+            sizes: list[int] = []
             for part in in_chunks(texts):
                 hashes, grams = ngram_hashes(texts[part], words)
                 some = np.flatnonzero(grams > 0)
@@ -190,36 +197,50 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
                     sig = signatures(hashes, grams[some], bands, rows).view(np.int64)
                     for i, s in zip(some.tolist(), sig):
                         found[part.start + i] = s
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                sizes += grams.tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "raw", "second", "n_grams", "bands"])
 
     text = F.coalesce(docs["`text`"].cast("string"), F.lit(""))
-    d = docs.select(docs["`doc_id`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    sig = staged(batched(d).mapInArrow(tidy(sign, known_words), "doc_id long, node long, bands array<long>"), "signatures")
-    texts = sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    d = docs.select(docs["`doc_id`"].cast("long").alias("doc_id"), first_hash(text).alias("raw"), text.alias("text"), F.xxhash64(F.lit(1), text).alias("second"))
+    sig = staged(batched(d).mapInArrow(tidy(sign, known_words), "doc_id long, raw long, second long, n_grams long, bands array<long>"), "signatures")
+    texts = sig.groupBy("raw", "second").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_grams").alias("n_grams"))
+    # a node is a text's first hash; of texts that share it, all but one get a new one from both hashes
+    clash = staged(texts.groupBy("raw").agg(F.min("second").alias("keeps"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "clashes")
+    n_clash = clash.limit(BROADCAST_ROWS + 1).count()
+
+    def named(df: DataFrame) -> DataFrame:
+        if not n_clash:
+            return df.withColumn("node", F.col("raw"))
+        both = df.join(F.broadcast(clash) if n_clash <= BROADCAST_ROWS else clash, "raw", "left")
+        return both.withColumn("node", F.when(F.col("second") != F.col("keeps"), F.xxhash64("raw", "second")).otherwise(F.col("raw"))).drop("keeps")
+
+    sig, texts = named(sig), named(texts)
     # copies have the same bands, so the distinct (band, node) are those of the texts
     band = sig.select("node", F.explode("bands").alias("band"))
     low = band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").drop("hi")
     candidates = components(band.join(low, "band").select(F.col("node").alias("a"), F.col("lo").alias("b")))
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    sized = candidates.join(sizes, "root").join(texts.select("node", "rep"), "node")
-    sized = staged(sized.withColumn("parts", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "candidates")
-    n = sized.count()
+    held = candidates.join(texts.select("node", "raw", "second", "rep", "n_grams"), "node")
+    sizes = held.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_grams").alias("grams"))
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("grams") / F.lit(BLOCK_GRAMS)))
+    sized = held.join(sizes, "root")
+    sized = staged(sized.withColumn("parts", F.least(parts, F.col("size")).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "candidates")
+    n, all_grams = sized.agg(F.count(F.lit(1)), F.sum("n_grams")).first()
 
     def shingle(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            sets = []
+            sets: list[bytes] = []
             for part in in_chunks(texts):
                 hashes, grams = ngram_hashes(texts[part], words)
                 sets += [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(grams)[:-1])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "grams"])
 
-    ids = sized.select(F.col("node").alias("id"), "rep")
-    rep = (F.col("node") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    chosen = d.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, rep, "left_semi")
+    ids = sized.select("node", F.col("raw").alias("of_raw"), F.col("second").alias("of_second"), "rep")
+    rep = (F.col("raw") == F.col("of_raw")) & (F.col("second") == F.col("of_second")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    chosen = d.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, rep)
     grams = chosen.select("node", "text").mapInArrow(tidy(shingle, known_words), "node long, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    few = F.lit(max(1, n // GROUP))
+    few = F.lit(max(1, (all_grams or 0) // BLOCK_GRAMS))
     tasks = sized.select("root", "node", "blk", "parts", other.alias("o")).select(
         "root", "node", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"),
         F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), few)).otherwise(F.col("root")).alias("grp"), (F.col("parts") > 1).alias("big"),
@@ -228,10 +249,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     found = staged(found, "links")
     classes = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("n").alias("n_links"))
-    named = texts.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return sig.select("doc_id", "node").join(named, "node").select("doc_id", F.col("node").alias("nd_node"), "class_id", "n_links", "n_copies")
+    classed = texts.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = classed.groupBy("root").agg(F.min("rep").alias("class_id"))
+    classed = classed.join(least, "root").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    return sig.select("doc_id", "raw", "node").join(classed, "node").select("doc_id", F.col("raw").alias("nd_node"), "class_id", "n_links", "n_copies")
+
+
+def first_hash(text: Column) -> Column:
+    h = F.xxhash64(text)
+    return h if IDENTITY_BITS == 64 else F.pmod(h, F.lit(1 << IDENTITY_BITS))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +276,7 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
     kept = near.groupBy("class_id", group.alias("g")).agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("kept_id"), F.col("o.nd_node").alias("kept_node"))
     kept = staged(kept, "kept")
     few = kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    d = docs.select(*[docs[f"`{c}`"] for c in DOCUMENT_COLUMNS]).withColumn("nd_node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    d = docs.select(*[docs[f"`{c}`"] for c in DOCUMENT_COLUMNS]).withColumn("nd_node", first_hash(F.coalesce("text", F.lit(""))))
     on = (F.col("nd_node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
     rows = d.join(F.broadcast(kept) if few else kept, on, "left_semi")
     twice = staged(near.groupBy("doc_id", "nd_node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("twice_id"), F.col("nd_node").alias("twice_node")), "twice")

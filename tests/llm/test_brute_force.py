@@ -49,9 +49,11 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "grams", "bits"), [(512, 1 << 21, 64), (7, 1 << 21, 64), (512, 300, 5)])
+def test_near_duplicates(spark, monkeypatch, block, grams, bits):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "IDENTITY_BITS", bits)  # 5: texts share their first hash
     texts = near_copies()
     unique = sorted(set(texts), key=texts.index)
     sets = {t: shingles(t) for t in unique}
