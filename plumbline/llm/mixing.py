@@ -14,18 +14,22 @@ their own; null ids sort first; rows that are alike are documents of their own;
 table gives an empty table; other columns pass through, whatever their names.
 
 No task holds a whole source: positions come from counts by (source, size, bucket) and a
-row number within that triple, so a source with a third of all rows is spread out.
+row number within that triple, so a source with a third of all rows is spread out.  Buckets
+go by a hash of id and text, and there is one for every BUCKET_ROWS documents.  Only the
+targets are made in one place, from one row per source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import DOCUMENT_COLUMNS, prefixed, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 16
+#: Least number of buckets, and rows for each.
+BUCKETS, BUCKET_ROWS = 16, 50_000
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0) -> DataFrame:
@@ -59,13 +63,17 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, limit: f
     """
     kept = list(keep if keep is not None else docs.columns)
     text = F.coalesce(docs["`text`"], F.lit(""))
+    buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
+    seen = F.md5(F.concat(F.coalesce(docs["`doc_id`"].cast("long").cast("string"), F.lit("")), F.lit("|"), text))
+    whole = [docs[f"`{f.name}`"] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     d = docs.select(
         F.struct(*[c.alias(f"c{i}") for i, c in enumerate(prefixed(docs, kept))]).alias("mx_row"),
         docs["`source`"].alias("mx_source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("mx_size"),
         docs["`doc_id`"].cast("long").alias("mx_id"),
-        F.xxhash64(text, docs["`source`"]).alias("mx_tie"),
-    ).withColumn("mx_bucket", F.pmod(F.coalesce("mx_id", F.lit(0)), F.lit(BUCKETS)))
+        F.xxhash64(*whole).alias("mx_tie"),
+        (F.conv(F.substring(seen, 1, 8), 16, 10).cast("long") % buckets).alias("mx_bucket"),
+    )
     key = ["mx_source", "mx_size", "mx_bucket"]
     counts = d.groupBy(*key).agg(F.count(F.lit(1)).alias("mx_n"))
     targets = source_targets(counts.select("mx_source", (F.col("mx_size") * F.col("mx_n")).alias("mx_size")), weights, share, limit)
@@ -106,7 +114,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         ((coalesce(doc_id, 0) % 16) + 16) % 16 AS bucket
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 8) AS BIGINT) % (SELECT greatest(16, (count(*) + 49999) // 50000) FROM documents) AS bucket
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM d GROUP BY source),
 w AS (SELECT source, total, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3) + 1] AS weight,
