@@ -35,7 +35,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows that share a bucket of one length, about.
 BUCKET_ROWS = 50_000
-CACHE_WORDS = 400_000
+#: Words that a worker keeps at most, and characters of one.
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -100,7 +101,7 @@ class Encoder:
                 else:
                     ids = self._by_words(" " + w)
                 parts[i] = ids
-                if len(spaced) < CACHE_WORDS:  # words that come often come early
+                if len(spaced) < CACHE_WORDS and len(w) <= CACHE_CHARS:  # words that come often come early
                     spaced[w] = ids
         return self._by_words(first) + b"".join(parts)
 
@@ -111,7 +112,7 @@ class Encoder:
         got = self.kept.get(word)
         if got is None:
             got = array("I", self.word_ids(word)).tobytes()
-            if len(self.kept) < CACHE_WORDS:
+            if len(self.kept) < CACHE_WORDS and len(word) <= CACHE_CHARS:
                 self.kept[word] = got
         return got
 

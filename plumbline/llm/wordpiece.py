@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import batched, table, tidy
 
 MARK = "▁"
-CACHE_WORDS = 200_000
+#: Words that a worker keeps at most, and characters of one.
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
 
 _AUTOMATA: dict[str, "LongestMatch"] = {}
 
@@ -124,9 +125,13 @@ class LongestMatch:
         split = [(t or "").split() for t in texts]
         new = list(set().union(*split) - kept.keys())
         if new:
-            if len(kept) >= CACHE_WORDS:  # words that come often come early
-                kept = dict(kept)
-            kept.update(zip(new, self.lengths(new).tolist()))
+            counts = dict(zip(new, self.lengths(new).tolist()))
+            if len(kept) < CACHE_WORDS:  # words that come often come early
+                kept.update((w, n) for w, n in counts.items() if len(w) <= CACHE_CHARS)
+                rest = {w: n for w, n in counts.items() if len(w) > CACHE_CHARS}
+                kept = {**kept, **rest} if rest else kept
+            else:
+                kept = {**kept, **counts}
         get = kept.__getitem__
         return [sum(map(get, words)) for words in split], [len(words) for words in split]
 
