@@ -3,21 +3,27 @@
 A page is read as a sequence of words and tags.  A word scores what its surroundings are
 worth: the elements around it (tag names, and words of class, id and role) have weights
 learned from the labelled pages of ``labelled_pages``: smoothed log odds of their words being
-main text, where they are against it, and the least of them counts.  What holds the page as a
-whole says nothing against its words, though: body, classes that tell what the page has
+main text, where they are against it, and the least of them counts.  A word of a class is
+weighed apart for elements that read like prose (sentences, few links) and for others, so a
+class that stands on lists of links says nothing against paragraphs.  What holds the page as a
+whole says nothing against its words either: body, classes that tell what the page has
 (has-sidebar), classes of a place beside one of content (top-story), a form with most of the
 page's words, main, and an element with most of the words that has the article inside.  If no
 word is left that scores above zero, elements with most of the words stop counting, outermost
-first.  A tag scores below zero, less where labelled pages have it outside the main text.  One linear scan finds the contiguous region
-with the largest sum.  The main text is the region's words, except those that themselves
-score below zero (an advert within an article, say).
+first.  A tag scores below zero, less where labelled pages have it outside the main text.
+
+One linear scan finds the contiguous region with the largest sum.  What interrupts an
+article from within (an aside, an advert) costs no more than INSET, however long, so the parts
+before and after stay together.  The main text is the region's words, except those that
+themselves score below zero.
 
 Character references are decoded; white space within a block becomes one space; blocks are
 trimmed and joined by one newline.
 
 Defined cases: a null html is empty; a page without words gives an empty text; broken and
-cut off markup is read as far as it goes; rows that are alike give like results; other
-columns are not read.  A page without any known element is taken whole.
+cut off markup is read as far as it goes, in time linear in its length however deep it is
+nested; rows that are alike give like results; other columns are not read.  A page without
+any known element is taken whole.
 """
 
 from __future__ import annotations
@@ -51,6 +57,10 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 #: stretches of the main text, such as an advert, must not outweigh a short stretch.
 WORD_SCORE, TAG_SCORE = 1.0, -0.05
 LEAST_WORD, LEAST_TAG = -0.3, -0.2
+#: The most that an interruption within an article takes off.
+INSET = 3.0
+#: Prose: the largest share of words in links, and the least number of words in its longest stretch of text.
+LINKED, STRETCH = 0.5, 8
 #: First words of classes that tell what a page has or is, and words that tell of a place only.
 STATES = frozenset("has with without no is not show hide".split())
 PLACES = frozenset("top bottom side column rail".split())
@@ -73,12 +83,21 @@ def marks_of(name: str, rest: str) -> list[str]:
 
 
 def sequence(page: str):
-    """(innermost element around or None, text or None, tag name or None, what the tag puts between words) for each text and tag of the page; an element is (number, marks, the element around it)."""
-    stack: list[tuple[str, tuple]] = []
-    inside: tuple | None = None
+    """(innermost element around or None, text or None, tag name or None, what the tag puts between words) for each text and tag of the page; an element is (number, marks, the element around it, its tag name)."""
+    stack: list[tuple[str, tuple, str]] = []  # name, element, the innermost block's name
+    within: Counter = Counter()
     number = 0
+
+    def up_to(name: str) -> None:
+        while True:
+            closed = stack.pop()[0]
+            within[closed] -= 1
+            if closed == name:
+                return
+
     for m in TOKEN.finditer(page):
         text = m["text"]
+        inside = stack[-1][1] if stack else None
         if text is not None:
             yield inside, text, None, ""
             continue
@@ -86,33 +105,59 @@ def sequence(page: str):
             continue
         name = m["name"].lower()
         if m["close"]:
-            if any(name == x for x, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-                inside = stack[-1][1] if stack else None
+            if within[name]:
+                up_to(name)
         elif name not in EMPTY and not m["rest"].endswith("/"):
-            if name in ("p", "li") and stack and name in (x for x, _ in stack[-4:]):  # an end tag left out
-                while stack.pop()[0] != name:
-                    pass
-                inside = stack[-1][1] if stack else None
+            if name in ("p", "li") and stack and name in (x for x, *_ in stack[-4:]):  # an end tag left out
+                up_to(name)
+            block = stack[-1][2] if stack else ""
             marks = [name]
             if name == "a":
-                marks = [next((f"{x}/a" for x, _ in reversed(stack) if x not in INLINE), "a")]
+                marks = [f"{block}/a" if block else "a"]
             elif name in ("header", "footer"):
-                marks = [f"article/{name}" if any(x in ("article", "main") for x, _ in stack) else name]
+                marks = [f"article/{name}" if within["article"] or within["main"] else name]
             number += 1
-            inside = (number, (*marks, *marks_of(name, m["rest"])), inside)
-            stack.append((name, inside))
-        yield inside, None, m["close"] + name, " " if name in ("br", "img") else "" if name in INLINE else "\n"
+            within[name] += 1
+            element = (number, (*marks, *marks_of(name, m["rest"])), stack[-1][1] if stack else None, name)
+            stack.append((name, element, block if name in INLINE else name))
+        yield stack[-1][1] if stack else None, None, m["close"] + name, " " if name in ("br", "img") else "" if name in INLINE else "\n"
 
 
-def around(element: tuple | None) -> list[tuple]:
-    """element and those around it, outermost first."""
-    out = []
-    while element:
-        out.append(element)
-        element = element[2]
-    return out[::-1]
+class Elements:
+    """The elements of a page that have words, each after those around it, and what is known of their words."""
+
+    def __init__(self, parts: list):
+        self.at: dict[int, tuple] = {}
+        words: Counter = Counter()
+        stretch: dict[int, int] = {}
+        for inside, text, *_ in parts:
+            if text is not None and inside is not None and (n := len(text.split())):
+                words[inside[0]] += n
+                stretch[inside[0]] = max(stretch.get(inside[0], 0), n)
+        self.loose = sum(len(text.split()) for inside, text, *_ in parts if text is not None and inside is None)
+        for inside, *_ in parts:
+            while inside is not None and inside[0] not in self.at and inside[0] in words:
+                path = []
+                while inside is not None and inside[0] not in self.at:
+                    path.append(inside)
+                    inside = inside[2]
+                self.at.update((e[0], e) for e in path)
+        self.order = sorted(self.at)  # an element has a larger number than those around it
+        self.words, self.linked, self.stretch = words, Counter(), stretch
+        for k in reversed(self.order):
+            _, _, around, name = self.at[k]
+            if name == "a":
+                self.linked[k] = words[k]
+            if around is not None:
+                up = around[0]
+                words[up] += words[k]
+                self.linked[up] += self.linked[k]
+                stretch[up] = max(stretch.get(up, 0), stretch.get(k, 0))
+
+    def keys(self, k: int) -> list[str]:
+        """Marks of an element as they are weighed."""
+        prose = self.stretch.get(k, 0) >= STRETCH and self.linked[k] <= LINKED * self.words[k]
+        return [x + ("+" if prose else "-") if x[0] == "." else x for x in self.at[k][1]]
 
 
 @lru_cache(maxsize=1)
@@ -122,7 +167,9 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
     tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for page in labelled_pages():
         main = False
-        for inside, text, tag, _ in sequence(page):
+        parts = list(sequence(page))
+        e = Elements([(i, t and re.sub(f"[{OPEN}{CLOSE}]", "", t), *rest) for i, t, *rest in parts])
+        for inside, text, tag, _ in parts:
             if tag is not None:
                 tags[main][tag] += 1
                 continue
@@ -130,7 +177,11 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
                 if part in (OPEN, CLOSE):
                     main = part == OPEN
                 elif n := len(part.split()):
-                    for mark in {x for e in around(inside) for x in e[1]}:
+                    marks, at = set(), inside
+                    while at is not None:
+                        marks.update(e.keys(at[0]))
+                        at = at[2]
+                    for mark in marks | {x[:-1] for x in marks if x[0] == "."}:
                         words[main][mark] += n
     odds = lambda c, x: math.log((c[True][x] + 0.5) / (c[False][x] + 0.5))
     of_words = {x: WORD_SCORE if odds(words, x) >= 0 else max(LEAST_WORD, odds(words, x)) for x in words[True].keys() | words[False].keys()}
@@ -138,71 +189,85 @@ def weights() -> tuple[dict[str, float], dict[str, float]]:
     return of_words, of_tags
 
 
-def scores(parts: list, of_words: dict[str, float]) -> dict[int, float]:
-    """What a word within an element is worth, by the number of the innermost element (0: none)."""
-    own: dict[int, float] = {}
-    marks_at: dict[int, tuple[str, ...]] = {}
-    element: dict[int, tuple | None] = {0: None}
-    n_words: Counter = Counter()
-    for inside, text, *_ in parts:
-        if text is not None and (n := len(text.split())):
-            at = inside[0] if inside else 0
-            element[at] = inside
-            n_words[at] += n
-    within: Counter = Counter()
-    for at, n in n_words.items():
-        for number, marks, _ in around(element[at]):
-            within[number] += n
-            if number not in own:
-                own[number] = min(of_words.get(x, WORD_SCORE) for x in marks)
-                marks_at[number] = marks
-    half = sum(n_words.values()) / 2
-    against = {k for k, w in own.items() if w <= 0}
-    wide = {k for k in against if within[k] > half and NEVER.isdisjoint(marks_at[k])}
-    good = {k for k, w in own.items() if w > 0 and not CONTENT.isdisjoint(marks_at[k])}
+def weight(key: str, of_words: dict[str, float]) -> float:
+    """A mark's weight.  Prose of a class that was only seen around lists is not weighed; a list of one that was only seen around prose is weighed as that."""
+    if key in of_words:
+        return of_words[key]
+    return of_words.get(key[:-1], WORD_SCORE) if key[0] == "." and key[-1] == "-" else WORD_SCORE
+
+
+def scores(parts: list, of_words: dict[str, float]) -> tuple[dict[int, float], dict[int, int]]:
+    """(what a word within an element is worth, the interruption that an element belongs to), by the number of the innermost element."""
+    e = Elements(parts)
+    marks = {k: e.at[k][1] for k in e.order}
+    around = {k: e.at[k][2][0] if e.at[k][2] else 0 for k in e.order}
+    own = {k: min(weight(x, of_words) for x in e.keys(k)) for k in e.order}
+    half = (e.loose + sum(e.words[k] for k in e.order if not around[k])) / 2
+    wide = {k for k in e.order if own[k] <= 0 and e.words[k] > half and NEVER.isdisjoint(marks[k])}
+    good = {k for k in e.order if own[k] > 0 and not CONTENT.isdisjoint(marks[k])}
     holds_good: set[int] = set()
-    reset: dict[int, int] = {}  # how many elements around a main do not count
-    for at in n_words:
-        numbers = [e[0] for e in around(element[at])]
-        reset[at] = max((i for i, k in enumerate(numbers) if k in good and marks_at[k][0] == "main"), default=0)
-        last = max((i for i, k in enumerate(numbers) if k in good), default=0)
-        holds_good.update(wide.intersection(numbers[:last]))
-    void = {k for k in wide if "form" in marks_at[k] or k in holds_good}
+    for k in reversed(e.order):
+        if k in good or k in holds_good:
+            holds_good.add(around[k])
+    void = {k for k in wide if "form" in marks[k] or k in holds_good}
 
     def worth() -> dict[int, float]:
-        return {at: min((own[e[0]] for e in around(element[at])[reset.get(at, 0) :] if e[0] not in void), default=WORD_SCORE) for at in element}
+        out = {0: WORD_SCORE}
+        for k in e.order:
+            if k in good and marks[k][0] == "main":
+                out[k] = own[k]
+            else:
+                out[k] = out[around[k]] if k in void else min(out[around[k]], own[k])
+        return out
 
     out = worth()
     for k in sorted(wide - void):
-        if any(out[at] > 0 for at in n_words):
+        if e.loose or any(x > 0 for j, x in out.items() if j):
             break
         void.add(k)
         out = worth()
-    return out
+    in_good, inset = {0: False}, {0: 0}
+    for k in e.order:
+        in_good[k] = in_good[around[k]] or k in good
+        inset[k] = inset[around[k]] or (k if out[k] <= 0 and in_good[around[k]] else 0)
+    return out, inset
+
+
+def best_region(values: list[float]) -> tuple[int, int]:
+    """(first, last + 1) of the contiguous values with the largest sum above zero, by one scan; (0, 0) if there are none."""
+    best, region, total, start = 0.0, (0, 0), 0.0, 0
+    for i, x in enumerate(values):
+        if total <= 0:
+            total, start = 0.0, i
+        total += x
+        if total > best:
+            best, region = total, (start, i + 1)
+    return region
 
 
 def main_text(page: str | None) -> str:
     of_words, of_tags = weights()
     parts = list(sequence(page or ""))
-    known = scores(parts, of_words)
+    known, inset = scores(parts, of_words)
     items: list[tuple[float, str | None, str]] = []
-    best, best_range, total, start = 0.0, (0, 0), 0.0, 0
+    values: list[float] = []
+    spent: Counter = Counter()
     for inside, text, tag, between in parts:
+        at = inside[0] if inside else 0
         if text is not None:
             text = references.unescape(text)
-            w = known.get(inside[0] if inside else 0, WORD_SCORE)
-            score = w * len(text.split())
+            w = known.get(at, WORD_SCORE)
             items.append((w, text, ""))
+            values.append(w * len(text.split()))
         else:
-            score = of_tags.get(tag, TAG_SCORE)
-            items.append((score, None, between))
-        if total <= 0:
-            total, start = 0.0, len(items) - 1
-        total += score
-        if total > best:
-            best, best_range = total, (start, len(items))
+            items.append((0.0, None, between))
+            values.append(of_tags.get(tag, TAG_SCORE))
+        if (k := inset.get(at, 0)) and values[-1] < 0:
+            values[-1] = -min(-values[-1], INSET - spent[k])
+            spent[k] -= values[-1]
+    first, last = best_region(values)
     blocks, now = [], []
-    for w, text, between in items[best_range[0] : best_range[1]]:
+    for w, text, between in items[first:last]:
         if text is not None:
             if w > 0:
                 now.append(text)

@@ -43,6 +43,7 @@ def labelled_pages() -> list[str]:
         _body(f'<ul class="breadcrumb breadcrumbs crumbs"><li><a href="/">Home</a></li><li><a href="/news">News</a></li></ul>', form, '<section id="main" class="content">', _main(f"{rich}{figures}"), "</section>", f'<div class="related recommended more links tags">{MENU}</div>', '<div class="share social follow buttons"><a href="#">Share this</a> <a href="#">Send it on</a></div>', footer),
         _body(nav, '<div role="main"><div class="article-body">', _main(f"<h1>The bridge</h1><p>{MORE}</p>"), f'<div class="advert advertisement ads sponsor sponsored promo promotion">Lamps at half the price until Friday, while they last.</div>', _main(f"<p><span>{PLAIN}</span> <strong>{MORE}</strong></p><p>{SHORT}</p>"), f'</div></div><div class="widget newsletter subscribe signup popup modal">{form}<p>Get the letter that everybody in town reads.</p></div>', comments, footer),
         _body(f'<div class="toolbar" role="navigation">{MENU}</div>', f'<div class="alert warning message consent gdpr" role="banner">This page is kept for the record and is not brought up to date.</div>', "<article>", _main(paragraphs), advert, _main(f"<p>{PLAIN}</p><p>{MORE}</p>"), f'<aside><p>Read next: how the mill was saved from the water.</p></aside>', _main(f"<p>{MORE}</p><p>{SHORT}</p>"), f'<footer><p>Filed under weather by the news desk, last Sunday.</p></footer></article>', f'<div id="sidebar" class="side column rail" role="complementary"><p>Most read today: ten stories you should not miss.</p>{MENU}</div>', f'<div id="disqus" class="discussion replies reply respond reviews">{comments}<p>Say what you think about this story below.</p></div>', '<div role="contentinfo"><p>The Daily Page is printed on paper made from old copies.</p></div>'),
+        _body('<div class="topbar userbar login account"><a href="/in">Login</a> <a href="/new">Register</a></div>', '<div class="article">', _main(paragraphs), '</div>', '<div class="responses feedback answers"><p>I saw this from my window and could not believe it.</p><p>You should have called us when it began.</p></div>', footer),
         _body(nav, _main(f"<div><div><h1>The mill</h1><p>{PLAIN}</p><p>{LINKED}</p></div></div>"), footer),
         _body(_main(f"<p>{PLAIN}</p><p>{MORE}</p><p>{PLAIN}</p>"), footer),
     ]

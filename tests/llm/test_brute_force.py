@@ -244,6 +244,37 @@ def test_what_stands_beside_the_article_stays_out():
     assert content.main_text(f"<body>{NAV}{FOOT}</body>") == ""
 
 
+PROSE = "Three days of rain had filled the mill pond before anyone thought to open the gate, and by then it was late."
+HELD_OUT_LAYOUTS = {
+    "more": ('<article><h1>Head</h1><div class="more"><p>{0} a</p><p>{0} b</p></div></article>', "Head\n{0} a\n{0} b"),
+    "tags": ('<nav><a href="x">Home</a></nav><section class="story-tags body"><p>{0} a</p><p>{0} b</p></section>', "{0} a\n{0} b"),
+    "aside": ('<article><p>{0} a</p><aside><p>{0}{0}{0}{0}{0}{0}{0}{0}</p></aside><p>{0} b</p></article>', "{0} a\n{0} b"),
+    "topbar": ('<div class="topbar">Login Register</div><article><p>{0} a</p></article><div class="reader-responses"><p>{0} c</p></div>', "{0} a"),
+    "plain": ('<div id="menu"><ul><li><a href="a">One</a></li><li><a href="b">Two</a></li></ul></div><div><p>{0} a</p></div><div class="comments"><p>{0} c</p></div><div class="more"><ul><li><a href="c">Next</a></li></ul></div>', "{0} a"),
+    "deep": ("<div>" * 300 + "<article><p>{0} a</p></article>" + "</div>" * 300 + "<footer>All rights reserved by all of us here.</footer>", "{0} a"),
+}
+
+
+@pytest.mark.parametrize("layout", HELD_OUT_LAYOUTS)
+def test_layouts_that_were_not_labelled(layout):
+    page, want = HELD_OUT_LAYOUTS[layout]
+    assert content.main_text(page.format(PROSE)) == want.format(PROSE)
+
+
+def test_scan_finds_the_best_range():
+    r = random.Random(2)
+    for _ in range(300):
+        values = [r.choice([-0.3, -0.05, 1.0, 2.0, -1.5, r.uniform(-2, 2)]) for _ in range(r.randint(0, 25))]
+        a, b = content.best_region(values)
+        best = max([0.0] + [sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)])
+        assert sum(values[a:b]) == pytest.approx(best) and (b > a or best <= 0)
+
+
+def test_depth_costs_no_more_than_length():
+    page = "".join(f"<div class='c{i % 7}'>word{i} " for i in range(20_000))
+    assert len(content.main_text(page).split()) == 20_000
+
+
 def test_labelled_pages_are_learned():
     good = words_right = 0
     for page in content_labels.labelled_pages():
