@@ -143,7 +143,7 @@ class Elements:
                     inside = inside[2]
                 self.at.update((e[0], e) for e in path)
         self.order = sorted(self.at)  # an element has a larger number than those around it
-        self.words, self.linked, self.stretch = words, Counter(), stretch
+        self.direct, self.words, self.linked, self.stretch = set(words), words, Counter(), stretch
         for k in reversed(self.order):
             _, _, around, name = self.at[k]
             if name == "a":
@@ -222,7 +222,7 @@ def scores(parts: list, of_words: dict[str, float]) -> tuple[dict[int, float], d
 
     out = worth()
     for k in sorted(wide - void):
-        if e.loose or any(x > 0 for j, x in out.items() if j):
+        if e.loose or any(out[j] > 0 for j in e.direct):
             break
         void.add(k)
         out = worth()
