@@ -418,6 +418,27 @@ def test_plans_use_few_bins(seed):
     assert used == Counter(counts) and sum(n for _, n in plan) <= -(-int(x.sum()) // 1024) + 2
 
 
+def test_the_best_two_of_what_is_left():
+    r = random.Random(12)
+    for _ in range(300):
+        left = np.zeros(41, np.int64)
+        for _ in range(r.randint(0, 12)):
+            left[r.randint(1, 40)] += 1
+        room = r.randint(1, 40)
+        pieces = [n for n in range(41) for _ in range(left[n])]
+        best = max([0] + [x + y for i, x in enumerate(pieces) for y in pieces[i + 1 :] if x + y <= room])
+        a, b = packing._best_two(left, room)
+        assert a + b == best and (not best or (left[a] >= 1 and left[b] >= (2 if a == b else 1)))
+
+
+def test_ids_are_those_of_the_tokenizer():
+    enc, r = packing.encoder(), random.Random(13)
+    marks = ["a", "b", "the", "Zoë", " ", "  ", "\n", "\t", ".", ",", "'s", "don't", "12", "3.5", "é", "日本語", "\u00a0", "\u2028", "🙂", "-", "/", "\0", "x" * 70]
+    for _ in range(2000):
+        text = "".join(r.choice(marks) for _ in range(r.randint(0, 14)))
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc._ids_of(text), repr(text)
+
+
 def test_mix_comes_near_its_targets(spark):
     df = mixing.op8_mix_sources(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source"), "doc_id")
     rows = df.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("n"), F.max("size").alias("most"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
