@@ -5,18 +5,18 @@ same document or another; strings never cross documents.
 
 Every window of WIDTH bytes has one anchor: its smallest hash of GRAM bytes, the last one
 among equals.  Alike windows have alike anchors at the same place, so only windows whose
-anchor value occurs twice can repeat.  A run of windows with one anchor is a segment.
-Segments that occur twice as a whole are repeats as they stand, which settles most of them
-by counting, however many copies there are.  The others meet those with the same anchor
-value in a shard, which builds the suffix array of its segments and marks the windows that
-have WIDTH bytes in common with a neighbour.  An anchor value with more than BLOCK different
-segments is cut into shards of its own; each pair of them is merged by binary search of the
-windows of one in the array of the other.
+anchor value occurs twice can repeat, and only those are sorted.  A run of windows with one
+anchor is a segment; of segments that are alike as a whole, two are sorted, and what is
+found of them holds for all.  All segments of an anchor value meet in a shard, which builds
+the suffix array of its segments and marks the windows that have WIDTH bytes in common with
+a neighbour.  An anchor value with more than BLOCK segments is cut into shards of its own;
+each pair of them is merged by binary search of the windows of one in the array of the
+other.  Nothing is removed that the arrays did not mark.
 
 Defined cases: a null text is empty; texts shorter than WIDTH lose nothing; copies of a long
 enough text are removed all of them; rows that are alike are copies; an empty table gives an
-empty table; other columns are not read.  Anchors and segments are compared by 64-bit
-hashes of each, so by 128 bits together.
+empty table; other columns are not read.  Segments count as alike by 64-bit hashes of each
+and of its anchor, so by 128 bits together.
 """
 
 from __future__ import annotations
@@ -133,8 +133,8 @@ def _segment_batch(held) -> pa.RecordBatch:
 
 
 def repeated_windows(pdf: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
-    """(ref, n_bytes, start, span) of what repeats in the segments of a shard, or between two shards of one anchor value."""
-    pdf = pdf.drop_duplicates(["anchor", "ref", "n_bytes", "start"]).reset_index(drop=True)
+    """(anchor, content, at, marked): runs of bytes that repeat in the segments of a shard, or between two shards of one anchor value."""
+    pdf = pdf.drop_duplicates(["anchor", "content", "copy"]).reset_index(drop=True)
     between = bool((pdf["i"] != pdf["j"]).any())
     sides = [pdf[pdf["blk"] == pdf["i"]], pdf[pdf["blk"] == pdf["j"]]] if between else [pdf]
     made = []
@@ -158,29 +158,33 @@ def repeated_windows(pdf: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
             alike = np.flatnonzero(lcp >= width)
             mark[sa[alike]] = True
             mark[sa[alike - 1]] = True
-        single = np.repeat(side["single"].to_numpy(), ends[starts] - starts) if n else np.zeros(0, bool)
-        hit = np.flatnonzero(mark[:n] & single)
+        first_copy = np.repeat(side["copy"].to_numpy() == 0, ends[starts] - starts) if n else np.zeros(0, bool)
+        hit = np.flatnonzero(mark[:n] & first_copy)
         if not len(hit):
             continue
         piece = np.searchsorted(starts, hit, "right") - 1
         first = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(piece) != 0)))
         last = np.append(first[1:], len(hit)) - 1
         row = side.iloc[piece[first]]
-        out.append(pd.DataFrame({"ref": row["ref"].to_numpy(), "n_bytes": row["n_bytes"].to_numpy(), "start": row["start"].to_numpy() + hit[first] - starts[piece[first]], "span": hit[last] - hit[first] + width}))
-    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("ref", "n_bytes", "start", "span")})
+        out.append(pd.DataFrame({"anchor": row["anchor"].to_numpy(), "content": row["content"].to_numpy(), "at": hit[first] - starts[piece[first]], "marked": hit[last] - hit[first] + width}))
+    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("anchor", "content", "at", "marked")})
 
 
 def _cut(batches):
-    """The bytes of the segments that are listed with a text."""
-    names = ["anchor", "ref", "n_bytes", "start", "single", "kinds", "seg"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+    """The bytes of the segments that are listed with a text; copies of a text have the same ones, so a task cuts them once."""
+    names = ["anchor", "content", "copy", "pieces", "seg"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    seen: set[tuple[int, int]] = set()
     for b in batches:
         for a in range(0, b.num_rows, 500):
             part = b.slice(a, 500)
             rows = []
-            for ref, n_bytes, text, wanted in zip(*(part.column(i).to_pylist() for i in range(4))):
+            for _, ref, n_bytes, text, wanted in zip(*(part.column(i).to_pylist() for i in range(5))):
+                if (ref, n_bytes) in seen:
+                    continue
+                seen.add((ref, n_bytes))
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(w["anchor"], ref, n_bytes, w["start"], w["single"], w["kinds"], raw[w["start"] : w["start"] + w["length"]]) for w in wanted]
+                rows += [(w["anchor"], w["content"], w["copy"], w["pieces"], raw[w["start"] : w["start"] + w["length"]]) for w in wanted]
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -204,22 +208,32 @@ def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     segments = staged(batched(d).where(F.col("n_bytes") >= WIDTH).select("ref", "text").mapInArrow(tidy(_segments), fields), "segments")
     twice = segments.groupBy("anchor").agg(F.sum("n").alias("t")).where("t > 1").select("anchor")
     shared = staged(segments.join(twice, "anchor"), "shared")
-    kinds = shared.groupBy("anchor", "content").agg(F.sum("n").alias("times"), F.min(F.struct("ref", "n_bytes", "start", "length")).alias("one"))
+    place = F.struct("ref", "n_bytes", "start", "length", "n")
+    kinds = shared.groupBy("anchor", "content").agg(F.sum("n").alias("times"), F.min(place).alias("one"), F.max(place).alias("two"))
     kinds = staged(kinds, "kinds")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    spans = shared.join(kinds.where("times > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("ref", "n_bytes", "start", F.col("span").cast("long").alias("span"))
-    listed = kinds.join(several, "anchor").select("one.ref", "one.n_bytes", F.struct("anchor", "one.start", "one.length", (F.col("times") == 1).alias("single"), "kinds").alias("w"))
+    pieces = kinds.groupBy("anchor").agg(F.sum(F.least("times", F.lit(2))).alias("pieces"))
+    # of segments that follow one another at once, the second begins where the windows of the first are over
+    next_start = F.col("two.start") + F.when((F.col("one") == F.col("two")) & (F.col("two.n") > 1), F.col("two.length") - F.lit(WIDTH - 1)).otherwise(0)
+    first = F.struct(F.lit(0).alias("copy"), F.col("one.ref"), F.col("one.n_bytes"), F.col("one.start"), F.col("one.length"))
+    second = F.struct(F.lit(1).alias("copy"), F.col("two.ref"), F.col("two.n_bytes"), next_start.alias("start"), F.col("two.length"))
+    both = F.explode(F.when(F.col("times") > 1, F.array(first, second)).otherwise(F.array(first)))
+    listed = kinds.join(pieces, "anchor").select("anchor", "content", "pieces", both.alias("s"))
+    listed = listed.select("s.ref", "s.n_bytes", F.struct("anchor", "content", "s.copy", "pieces", "s.start", "s.length").alias("w"))
     listed = staged(listed, "listed")
     n_bytes = listed.agg(F.sum("w.length")).first()[0] or 0
     wanted = listed.groupBy("ref", "n_bytes").agg(F.collect_list("w").alias("wanted"))  # a text's own segments
-    cut = d.join(wanted, ["ref", "n_bytes"]).select("ref", "n_bytes", "text", "wanted").mapInArrow(tidy(_cut), "anchor long, ref long, n_bytes long, start long, single boolean, kinds long, seg binary")
-    parts = F.ceil(F.col("kinds") / F.lit(BLOCK)).cast("int")
-    cut = cut.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("ref", "start"), F.col("parts")).cast("int"))
+    # doc_id comes along so that both joins with the texts have the same shuffle of them, which Spark then does once
+    cut = d.join(wanted, ["ref", "n_bytes"]).select("doc_id", "ref", "n_bytes", "text", "wanted").mapInArrow(tidy(_cut), "anchor long, content long, copy int, pieces long, seg binary")
+    parts = F.ceil(F.col("pieces") / F.lit(BLOCK)).cast("int")
+    cut = cut.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("content", "copy"), F.col("parts")).cast("int"))
     cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     shards = F.lit(max(1, n_bytes // SHARD_BYTES))
-    cut = cut.select("anchor", "ref", "n_bytes", "start", "single", "seg", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), shards)).otherwise(F.col("anchor")).alias("grp"), (F.col("parts") > 1).alias("big"))
-    partial = cut.groupBy("grp", "big", "i", "j").applyInPandas(lambda pdf: repeated_windows(pdf), "ref long, n_bytes long, start long, span long")
-    gone = spans.unionByName(partial).groupBy("ref", "n_bytes").agg(F.collect_set(F.struct("start", "span")).alias("spans"))
+    cut = cut.select("anchor", "content", "copy", "seg", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), shards)).otherwise(F.col("anchor")).alias("grp"), (F.col("parts") > 1).alias("big"))
+    marks = cut.groupBy("grp", "big", "i", "j").applyInPandas(lambda pdf: repeated_windows(pdf), "anchor long, content long, at long, marked long")
+    # a run of segments that are alike is marked from its beginning to its end, since each of them is whole
+    many = F.col("n") > 1
+    run = F.struct(F.when(many, F.col("start")).otherwise(F.col("start") + F.col("at")).alias("start"), F.when(many, F.col("span")).otherwise(F.col("marked")).cast("long").alias("span"))
+    gone = shared.join(marks, ["anchor", "content"]).select("ref", "n_bytes", run.alias("s")).groupBy("ref", "n_bytes").agg(F.collect_set("s").alias("spans"))
 
     def finish(batches):
         for b in batches:
