@@ -7,7 +7,9 @@ Every window of WIDTH bytes has one anchor: its smallest hash of GRAM bytes, the
 among equals.  Alike windows have alike anchors at the same place, so only windows whose
 anchor value occurs twice can repeat, and only those are sorted.  A run of windows with one
 anchor is a segment; of segments that are alike as a whole, two are sorted, and what is
-found of them holds for all.  All segments of an anchor value meet in a shard, which builds
+found of them holds for all.  Where segments that alone have their anchor value follow one
+another in both places, they are sorted as one piece, since next to one another they share
+all but a few of their bytes.  All segments of an anchor value meet in a shard, which builds
 the suffix array of its segments and marks the windows that have WIDTH bytes in common with
 a neighbour.  An anchor value with more than BLOCK segments is cut into shards of its own;
 each pair of them is merged by binary search of the windows of one in the array of the
@@ -36,7 +38,9 @@ from .suffix_array import common_prefixes, found_in, suffix_array
 WIDTH, GRAM = 200, 32
 SLICE_BYTES, CHUNK_BYTES = 1 << 18, 1 << 23
 #: Segments of one anchor value that share a shard, and bytes of segments in a shard, about.
-BLOCK, SHARD_BYTES = 2048, 4 << 20
+BLOCK, SHARD_BYTES = 2048, 1 << 20
+#: Bytes up to which segments that follow one another in both of their places are sorted as one piece.
+PIECE_BYTES = 1024
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -133,7 +137,10 @@ def _segment_batch(held) -> pa.RecordBatch:
 
 
 def repeated_windows(pdf: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
-    """(anchor, content, at, marked): runs of bytes that repeat in the segments of a shard, or between two shards of one anchor value."""
+    """(anchor, content, at, marked): runs of bytes that repeat in the segments of a shard, or between two shards of one anchor value.
+
+    A row of pdf is a piece of one or more segments; kinds has the anchor, content and length of each.
+    """
     pdf = pdf.drop_duplicates(["anchor", "content", "copy"]).reset_index(drop=True)
     between = bool((pdf["i"] != pdf["j"]).any())
     sides = [pdf[pdf["blk"] == pdf["i"]], pdf[pdf["blk"] == pdf["j"]]] if between else [pdf]
@@ -158,22 +165,46 @@ def repeated_windows(pdf: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
             alike = np.flatnonzero(lcp >= width)
             mark[sa[alike]] = True
             mark[sa[alike - 1]] = True
-        first_copy = np.repeat(side["copy"].to_numpy() == 0, ends[starts] - starts) if n else np.zeros(0, bool)
-        hit = np.flatnonzero(mark[:n] & first_copy)
+        one = np.flatnonzero(side["copy"].to_numpy() == 0)
+        if not len(one):
+            continue
+        kinds = [side["kinds"].iloc[k] for k in one]
+        n_kinds = np.array([len(k) for k in kinds]) // 24
+        kind = np.frombuffer(b"".join(kinds), np.int64).reshape(-1, 3)
+        n_windows = kind[:, 2] - width + 1
+        before = np.cumsum(n_windows) - n_windows
+        begin = before + np.repeat(starts[one] - before[np.cumsum(n_kinds) - n_kinds], n_kinds)
+        which = np.repeat(np.arange(len(kind)), n_windows)
+        at = np.arange(len(which)) + (begin - before)[which]
+        hit = np.flatnonzero(mark[at])
         if not len(hit):
             continue
-        piece = np.searchsorted(starts, hit, "right") - 1
-        first = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(piece) != 0)))
+        at, which = at[hit], which[hit]
+        first = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (np.diff(which) != 0)))
         last = np.append(first[1:], len(hit)) - 1
-        row = side.iloc[piece[first]]
-        out.append(pd.DataFrame({"anchor": row["anchor"].to_numpy(), "content": row["content"].to_numpy(), "at": hit[first] - starts[piece[first]], "marked": hit[last] - hit[first] + width}))
+        of = which[first]
+        out.append(pd.DataFrame({"anchor": kind[of, 0], "content": kind[of, 1], "at": at[first] - begin[of], "marked": at[last] - at[first] + width}))
     return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("anchor", "content", "at", "marked")})
 
 
+def _pieces(wanted: list) -> list[list]:
+    """A text's segments, together those that are sorted as one piece."""
+    out: list[list] = []
+    for w in sorted(wanted, key=lambda w: (w["copy"], w["start"])):
+        last = out[-1][-1] if out else None
+        if last and w["alone"] and last["alone"] and w["copy"] == last["copy"] and w["other"] == last["other"] and w["other_bytes"] == last["other_bytes"]:
+            step = last["length"] - WIDTH + 1
+            if w["start"] == last["start"] + step and w["other_start"] == last["other_start"] + step and w["start"] + w["length"] - out[-1][0]["start"] <= PIECE_BYTES:
+                out[-1].append(w)
+                continue
+        out.append([w])
+    return out
+
+
 def _cut(batches):
-    """The bytes of the segments that are listed with a text; copies of a text have the same ones, so a task cuts them once."""
-    names = ["anchor", "content", "copy", "pieces", "seg"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    """The bytes of the pieces that are listed with a text; copies of a text have the same ones, so a task cuts them once."""
+    names = ["anchor", "content", "copy", "pieces", "kinds", "seg"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     seen: set[tuple[int, int]] = set()
     for b in batches:
         for a in range(0, b.num_rows, 500):
@@ -184,7 +215,10 @@ def _cut(batches):
                     continue
                 seen.add((ref, n_bytes))
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(w["anchor"], w["content"], w["copy"], w["pieces"], raw[w["start"] : w["start"] + w["length"]]) for w in wanted]
+                for ws in _pieces(wanted):
+                    w, end = ws[0], ws[-1]["start"] + ws[-1]["length"]
+                    kinds = np.array([(x["anchor"], x["content"], x["length"]) for x in ws], np.int64).tobytes()
+                    rows.append((w["anchor"], w["content"], w["copy"], w["pieces"], kinds, raw[w["start"] : end]))
             columns = zip(*rows) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
@@ -214,21 +248,24 @@ def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     pieces = kinds.groupBy("anchor").agg(F.sum(F.least("times", F.lit(2))).alias("pieces"))
     # of segments that follow one another at once, the second begins where the windows of the first are over
     next_start = F.col("two.start") + F.when((F.col("one") == F.col("two")) & (F.col("two.n") > 1), F.col("two.length") - F.lit(WIDTH - 1)).otherwise(0)
-    first = F.struct(F.lit(0).alias("copy"), F.col("one.ref"), F.col("one.n_bytes"), F.col("one.start"), F.col("one.length"))
-    second = F.struct(F.lit(1).alias("copy"), F.col("two.ref"), F.col("two.n_bytes"), next_start.alias("start"), F.col("two.length"))
+    one = [F.col("one.ref"), F.col("one.n_bytes"), F.col("one.start")]
+    two = [F.col("two.ref"), F.col("two.n_bytes"), next_start]
+    segment = lambda copy, own, other, length: F.struct(F.lit(copy).alias("copy"), *[x.alias(c) for x, c in zip([*own, *other, length], ("ref", "n_bytes", "start", "other", "other_bytes", "other_start", "length"))])
+    first, second = segment(0, one, two, F.col("one.length")), segment(1, two, one, F.col("two.length"))
     both = F.explode(F.when(F.col("times") > 1, F.array(first, second)).otherwise(F.array(first)))
-    listed = kinds.join(pieces, "anchor").select("anchor", "content", "pieces", both.alias("s"))
-    listed = listed.select("s.ref", "s.n_bytes", F.struct("anchor", "content", "s.copy", "pieces", "s.start", "s.length").alias("w"))
+    alone = (F.col("times") > 1) & (F.col("pieces") == 2) & (F.col("one.n") == 1) & (F.col("two.n") == 1)
+    listed = kinds.join(pieces, "anchor").select("anchor", "content", "pieces", alone.alias("alone"), both.alias("s"))
+    listed = listed.select("s.ref", "s.n_bytes", F.struct("anchor", "content", "s.copy", "pieces", "alone", "s.start", "s.length", "s.other", "s.other_bytes", "s.other_start").alias("w"))
     listed = staged(listed, "listed")
-    n_bytes = listed.agg(F.sum("w.length")).first()[0] or 0
+    n_bytes = listed.agg(F.sum(F.when(F.col("w.alone"), F.col("w.length") - F.lit(WIDTH - 1)).otherwise(F.col("w.length")))).first()[0] or 0
     wanted = listed.groupBy("ref", "n_bytes").agg(F.collect_list("w").alias("wanted"))  # a text's own segments
     # doc_id comes along so that both joins with the texts have the same shuffle of them, which Spark then does once
-    cut = d.join(wanted, ["ref", "n_bytes"]).select("doc_id", "ref", "n_bytes", "text", "wanted").mapInArrow(tidy(_cut), "anchor long, content long, copy int, pieces long, seg binary")
+    cut = d.join(wanted, ["ref", "n_bytes"]).select("doc_id", "ref", "n_bytes", "text", "wanted").mapInArrow(tidy(_cut), "anchor long, content long, copy int, pieces long, kinds binary, seg binary")
     parts = F.ceil(F.col("pieces") / F.lit(BLOCK)).cast("int")
     cut = cut.withColumn("parts", parts).withColumn("blk", F.pmod(F.xxhash64("content", "copy"), F.col("parts")).cast("int"))
     cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     shards = F.lit(max(1, n_bytes // SHARD_BYTES))
-    cut = cut.select("anchor", "content", "copy", "seg", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), shards)).otherwise(F.col("anchor")).alias("grp"), (F.col("parts") > 1).alias("big"))
+    cut = cut.select("anchor", "content", "copy", "kinds", "seg", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), shards)).otherwise(F.col("anchor")).alias("grp"), (F.col("parts") > 1).alias("big"))
     marks = cut.groupBy("grp", "big", "i", "j").applyInPandas(lambda pdf: repeated_windows(pdf), "anchor long, content long, at long, marked long")
     # a run of segments that are alike is marked from its beginning to its end, since each of them is whole
     many = F.col("n") > 1

@@ -8,6 +8,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Bits of a position in an integer that is sorted; three of them fit into one.
+PLACE_BITS = 21
+
+
 def words8(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as one big-endian integer (zeros after the end)."""
     a = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -17,39 +21,66 @@ def words8(text: np.ndarray) -> np.ndarray:
     return (w[: n + 1] << np.uint64(32) | w[4 : n + 5])[:n]
 
 
+def _by_prefix(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(starts of suffixes in order of their first few bytes, where a new prefix begins in it, how many bytes that are)."""
+    n = len(text)
+    few = n < 1 << PLACE_BITS
+    h = 5 if few else 8
+    size = np.minimum(left, h)
+    key = words8(text)
+    if few:  # five bytes, how many there are, and the position in one integer
+        key &= ~np.uint64(0) << (np.uint64(8) * (8 - size).astype(np.uint64))
+        place = np.uint64(PLACE_BITS)
+        key = key >> np.uint64(24) << np.uint64(24) | size.astype(np.uint64) << place | np.arange(n, dtype=np.uint64)
+        key.sort()
+        sa, key = (key & (np.uint64(1) << place) - np.uint64(1)).astype(np.int64), key >> place
+        return sa, np.append(True, key[1:] != key[:-1]), h
+    short = np.flatnonzero(left < h)
+    key[short] &= ~np.uint64(0) << (np.uint64(8) * (h - left[short]).astype(np.uint64))
+    sa = np.argsort(key, kind="stable") if text.all() else np.lexsort((size, key))  # a zero byte is no end
+    key, size = key[sa], size[sa]
+    return sa, np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1])), h
+
+
+def _by_pair(first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order of pairs of numbers up to n, where a new pair begins in it)."""
+    if n < 1 << PLACE_BITS:
+        place = PLACE_BITS
+        pair = first << 2 * place | second << place | np.arange(len(first))
+        pair.sort()
+        order, pair = pair & (1 << place) - 1, pair >> place
+    else:
+        pair = first << 32 | second
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+    return order, np.append(True, pair[1:] != pair[:-1])
+
+
 def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int = 256) -> np.ndarray:
     """Starts of all suffixes in order of their first ``depth`` bytes.  ends: the end of each position's piece.
 
     Larsson and Sadakane's refinement: after sorting by a first prefix, groups of equal ones
-    are sorted by the rank of what follows, each round doubling the prefix; groups of one
-    are left out of all later rounds.
+    are sorted by the rank of what follows, each round doubling the prefix; groups of one,
+    and suffixes that are over, are left out of all later rounds.  What is sorted is put into
+    one integer with its position, as long as the text has less than 2 ** PLACE_BITS bytes.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
     left = (ends - np.arange(n)).astype(np.int64)
-    key = words8(text)
-    short = np.flatnonzero(left < 8)
-    key[short] &= ~np.uint64(0) << (np.uint64(8) * (8 - left[short]).astype(np.uint64))
-    size = np.minimum(left, 8)
-    sa = np.argsort(key, kind="stable") if text.all() else np.lexsort((size, key))  # a zero byte is no end
-    ordered, size = key[sa], size[sa]
-    head = np.append(True, (ordered[1:] != ordered[:-1]) | (size[1:] != size[:-1]))
-    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    sa, head, h = _by_prefix(text, left)
     rank = np.empty(n, np.int64)
-    rank[sa] = first
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     slots = np.flatnonzero(~(head & np.append(head[1:], True)))
-    h = 8
     while len(slots) and h < depth:
         who = sa[slots]
         beyond = np.where(left[who] > h, rank[np.minimum(who + h, n - 1)] + 1, 0)
-        pair = rank[who] << 32 | beyond
-        order = np.argsort(pair, kind="stable")
-        who, pair = who[order], pair[order]
+        order, head = _by_pair(rank[who], beyond, n)
+        who = who[order]
         sa[slots] = who
-        head = np.append(True, pair[1:] != pair[:-1])
         rank[who] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
-        slots = slots[~(head & np.append(head[1:], True))]
+        # alike suffixes that are over stay in order of their positions
+        slots = slots[~(head & np.append(head[1:], True)) & (beyond[order] > 0)]
         h *= 2
     return sa
 

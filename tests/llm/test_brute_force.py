@@ -103,6 +103,8 @@ def test_repeated_strings(spark, monkeypatch, block):
     shared = [part(230), part(199), part(600)]
     texts = [part(r.randint(0, 300)) + r.choice(shared) + part(r.randint(0, 300)) for _ in range(25)]
     line = part(60)
+    long = part(4000)  # pieces of several segments, and of parts of them
+    texts += [long, part(70) + long[:2500] + part(80), part(60) + long[1200:] + part(50), long[300:3000] + long[300:900]]
     texts += [line * 9, part(40) + line * 12 + part(300), line * 5 + part(9)]  # runs of segments that are alike
     texts += [part(500), "ab" * 400, "loop " * 100, shared[2], shared[2], "", "x" * 199, part(90) + "x" * 260]
     raw = [t.encode() for t in texts]
@@ -153,7 +155,7 @@ def test_long_common_prefixes_mark_nothing_else(ends_with):
             p = passage(r.randint(210, 350))
             segs += [p[: 205 + r.randint(0, 5)] + ends_with * r.randint(0, 9) for _ in range(3)]
         r.shuffle(segs)
-        pdf = pd.DataFrame({"anchor": 1, "content": range(len(segs)), "copy": 0, "seg": segs, "blk": 0, "i": 0, "j": 0})
+        pdf = pd.DataFrame({"anchor": 1, "content": range(len(segs)), "copy": 0, "kinds": [np.array([1, k, len(s)]).tobytes() for k, s in enumerate(segs)], "seg": segs, "blk": 0, "i": 0, "j": 0})
         seen = Counter(s[i : i + 200] for s in segs for i in range(len(s) - 199))
         want = {(k, i) for k, s in enumerate(segs) for i in range(len(s) - 199) if seen[s[i : i + 200]] > 1}
         got = {(x.content, x.at + i) for x in repeats.repeated_windows(pdf).itertuples() for i in range(x.marked - 199)}
