@@ -161,7 +161,7 @@ def repeated_windows(pdf: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
             _, text2, _, ends2, sa2 = made[1 - k]
             mark[whole[found_in(text2, ends2, sa2, text, whole, width)]] = True
         else:
-            lcp = common_prefixes(text, starts, ends, sa, width)
+            lcp = common_prefixes(text, starts, ends, sa, width, width)
             alike = np.flatnonzero(lcp >= width)
             mark[sa[alike]] = True
             mark[sa[alike - 1]] = True

@@ -42,18 +42,18 @@ def _by_prefix(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sa, np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1])), h
 
 
-def _by_pair(first: np.ndarray, second: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order of pairs of numbers up to n, where a new pair begins in it)."""
+def _by_pair(first: np.ndarray, second: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, second, where a new pair begins) in order of first, second and at; at ascends, and all are n at most."""
     if n < 1 << PLACE_BITS:
-        place = PLACE_BITS
-        pair = first << 2 * place | second << place | np.arange(len(first))
-        pair.sort()
-        order, pair = pair & (1 << place) - 1, pair >> place
-    else:
-        pair = first << 32 | second
-        order = np.argsort(pair, kind="stable")
-        pair = pair[order]
-    return order, np.append(True, pair[1:] != pair[:-1])
+        mask = (1 << PLACE_BITS) - 1
+        key = first << 2 * PLACE_BITS | second << PLACE_BITS | at
+        key.sort()
+        pair = key >> PLACE_BITS
+        return key & mask, pair & mask, np.append(True, pair[1:] != pair[:-1])
+    pair = first << 32 | second
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    return at[order], second[order], np.append(True, pair[1:] != pair[:-1])
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int = 256) -> np.ndarray:
@@ -71,16 +71,16 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int = 256) -> np.nda
     sa, head, h = _by_prefix(text, left)
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    slots = np.flatnonzero(~(head & np.append(head[1:], True)))
+    open_ = ~(head & np.append(head[1:], True))
+    slots, at = np.flatnonzero(open_), np.sort(sa[open_])  # places in the array, and suffixes, of groups of several
     while len(slots) and h < depth:
-        who = sa[slots]
-        beyond = np.where(left[who] > h, rank[np.minimum(who + h, n - 1)] + 1, 0)
-        order, head = _by_pair(rank[who], beyond, n)
-        who = who[order]
+        beyond = np.where(left[at] > h, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        who, beyond, head = _by_pair(rank[at], beyond, at, n)
         sa[slots] = who
         rank[who] = slots[np.maximum.accumulate(np.where(head, np.arange(len(slots)), 0))]
         # alike suffixes that are over stay in order of their positions
-        slots = slots[~(head & np.append(head[1:], True)) & (beyond[order] > 0)]
+        open_ = ~(head & np.append(head[1:], True)) & (beyond > 0)
+        slots, at = slots[open_], np.sort(who[open_])
         h *= 2
     return sa
 
@@ -106,8 +106,8 @@ def extended(w: np.ndarray, p: np.ndarray, q: np.ndarray, h: np.ndarray, limit:
     return h
 
 
-def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Of each suffix in sa with the one before it, up to most.
+def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, sa: np.ndarray, most: int, least: int = 1) -> np.ndarray:
+    """Of each suffix in sa with the one before it, up to most; suffixes of less than least bytes are passed over (zero).
 
     Kasai's way: a suffix has at least one byte less in common with its neighbour than the
     suffix one position before it had, so bytes are compared once.  That holds only if sa is in
@@ -120,7 +120,7 @@ def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, sa:
     w = words8(text)
     lcp = np.zeros(n, np.int64)
     at = starts[np.argsort(-(ends[starts] - starts), kind="stable")]
-    size = ends[at] - at
+    size = ends[at] - at - least + 1  # the suffixes that are wanted begin each piece
     h = np.zeros(len(at), np.int64)
     for t in range(int(size[0]) if len(size) else 0):
         live = int(np.searchsorted(-size, -t, "left"))

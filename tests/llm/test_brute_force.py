@@ -135,6 +135,8 @@ def test_suffix_array_and_prefixes():
         a, b = suffix(sa[k - 1]), suffix(sa[k])
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert lcp[k] == min(n, 40)
+    from_ten = suffix_array.common_prefixes(text, edge - size, ends, sa, 40, 10)
+    assert from_ten.tolist() == np.where(ends[sa] - sa >= 10, lcp, 0).tolist()
     other = np.frombuffer(b"abababababababab" + b"zzzzzzzz" + pieces[3][:8].ljust(8, b"q"), np.uint8)
     at = np.arange(len(other) - 15)
     want = [any(suffix(i).startswith(bytes(other[a : a + 8])) for i in range(len(text))) for a in at]
