@@ -35,7 +35,7 @@ from .common import batched, staged, table, tidy
 from .ngram_join import mixed
 from .suffix_array import common_prefixes, found_in, suffix_array
 
-WIDTH, GRAM = 200, 32
+WIDTH, GRAM = 200, 48
 SLICE_BYTES, CHUNK_BYTES = 1 << 18, 1 << 23
 #: Segments of one anchor value that share a shard, and bytes of segments in a shard, about.
 BLOCK, SHARD_BYTES = 2048, 1 << 20
